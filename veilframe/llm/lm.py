@@ -17,11 +17,16 @@ from veilframe.llm._shared import Scratch
 
 MARK = "▁"
 #: Bytes of text in a chunk; a chunk's distinct words and tokens are what a task holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Classes of documents with a model of their own; the rest share one more.
+MAX_CLASSES = 8
 #: Added to every piece's count.
 PIECE_FLOOR = 0.05
 
-CHUNKS = "chunk long, words array<string>, train array<long>, ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>"
+CHUNKS = (
+    "chunk long, words array<string>, train array<struct<at: int, class: string, n: long>>,"
+    " classes array<struct<class: string, documents: long>>, ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>"
+)
 
 
 class Numbered(dict):
@@ -36,53 +41,71 @@ def is_held_out(doc_id, modulus: int, remainder: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus == remainder
 
 
-def chunked(docs: DataFrame, modulus: int, remainder: int, id_col: str, text_col: str) -> DataFrame:
-    """Runs of documents with their words numbered within the run, and how often each word is in training documents."""
+def chunked(docs: DataFrame, modulus: int, remainder: int, id_col: str, text_col: str, class_col: str | None) -> DataFrame:
+    """Runs of documents with their words numbered within the run, and how often training documents of each class have them."""
+    train_type = pa.list_(pa.struct([("at", pa.int32()), ("class", pa.string()), ("n", pa.int64())]))
+    class_type = pa.list_(pa.struct([("class", pa.string()), ("documents", pa.int64())]))
+    kinds = {
+        "chunk": pa.int64(), "words": pa.list_(pa.string()), "train": train_type, "classes": class_type, "ids": pa.list_(pa.int64()),
+        "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "tokens": pa.list_(pa.int32()),
+    }
 
-    def pack(number, ids, texts):
+    def pack(number, ids, texts, classes):
         index = Numbered()
         tokens = [np.fromiter(map(index.__getitem__, t.lower().split()), np.int32) for t in texts]
         held = [is_held_out(i, modulus, remainder) for i in ids]
-        train = [t for t, h in zip(tokens, held, strict=True) if not h]
-        counts = np.bincount(np.concatenate(train), minlength=len(index)) if train else np.zeros(len(index), np.int64)
-        row = (number, [w.decode("utf-8", "replace") for w in index], counts, ids, held, [len(t) for t in tokens], np.concatenate(tokens))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)],
-            names=["chunk", "words", "train", "ids", "held", "sizes", "tokens"],
-        )
+        of_class: dict[str, list[np.ndarray]] = {}
+        for t, h, c in zip(tokens, held, classes, strict=True):
+            if not h:
+                of_class.setdefault(c, []).append(t)
+        train = []
+        for c, own in of_class.items():
+            counts = np.bincount(np.concatenate(own), minlength=len(index))
+            train += [{"at": a, "class": c, "n": n} for a, n in zip(np.flatnonzero(counts).tolist(), counts[counts > 0].tolist(), strict=True)]
+        groups = [{"class": c, "documents": len(own)} for c, own in of_class.items()]
+        row = (number, [w.decode("utf-8", "replace") for w in index], train, groups, ids, held, [len(t) for t in tokens], np.concatenate(tokens))
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, texts, classes, size = [], [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 ids.append(i)
                 texts.append((t or "").encode("utf-8", "surrogatepass"))
+                classes.append(c)
                 size += len(texts[-1])
                 if size >= CHUNK_BYTES:
-                    yield pack(number, ids, texts)
-                    number, ids, texts, size = number + 1, [], [], 0
+                    yield pack(number, ids, texts, classes)
+                    number, ids, texts, classes, size = number + 1, [], [], [], 0
         if ids:
-            yield pack(number, ids, texts)
+            yield pack(number, ids, texts, classes)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, CHUNKS)
+    of = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), of).mapInArrow(run, CHUNKS)
 
 
-def piece_counts(words: DataFrame, path: str) -> Counter:
-    """How often the pieces of the public vocabulary occur in the distinct training words."""
+def piece_counts(words: DataFrame, path: str, classes: int) -> list[Counter]:
+    """For each class, how often the pieces of the public vocabulary occur in its distinct training words."""
 
     def run(batches):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        total: Counter[int] = Counter()
+        total = [Counter() for _ in range(classes)]
         for batch in batches:
-            for ids in model.encode(batch.column(0).to_pylist(), num_threads=1):
-                total.update(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], names=["piece", "n"])
+            for ids, ns in zip(model.encode(batch.column(0).to_pylist(), num_threads=1), batch.column(1).to_pylist(), strict=True):
+                for k, n in enumerate(ns):
+                    if n:
+                        total[k].update(ids)
+        rows = [(k, p, n) for k, c in enumerate(total) for p, n in c.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["k", "piece", "n"])
 
-    found = words.select("word").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return Counter({r["piece"]: r["n"] for r in found.collect()})  # at most the vocabulary
+    found = words.select("word", "own").mapInArrow(run, "k int, piece int, n long").groupBy("k", "piece").agg(F.sum("n").alias("n"))
+    out = [Counter() for _ in range(classes)]
+    for r in found.collect():  # at most the vocabulary for each class
+        out[r["k"]][r["piece"]] = r["n"]
+    return out
 
 
 @dataclass
@@ -153,7 +176,7 @@ def add_logs(a: float, b: float) -> float:
 
 @dataclass
 class Totals:
-    """Of the training tokens: all (ends included), documents, distinct words, words met once and twice."""
+    """Of a class's training tokens: all (ends included), documents, distinct words, words met once and twice."""
 
     tokens: int
     documents: int
@@ -177,68 +200,93 @@ class Totals:
 
 
 def score_documents(
-    scratch: Scratch, docs: DataFrame, vocabulary: str, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    scratch: Scratch, docs: DataFrame, vocabulary: str, modulus: int = 7, remainder: int = 2,
+    id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None,
+) -> DataFrame:
     """Log10-probabilities of whole texts: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A text is its words, lower-cased (A-Z), and an end. The model gives each token the sum over two
     kinds of paths of the lattice: the whole word, with its discounted share of the training tokens, and
     every segmentation into pieces of the public vocabulary, which share what the discount left. The
     vocabulary file holds merge ranks, not probabilities, so the pieces' scores are their shares in the
-    distinct training words. Word counts come from all training documents. ``base_score`` is the add-one
-    unigram score.
+    distinct training words. With ``class_col`` (the language, say) each of the MAX_CLASSES classes with
+    most training documents has such a model, the others share one, and a text's probability is the
+    sum over the classes, whatever its own class is. Word counts come from all training documents.
+    ``base_score`` is the add-one unigram score over all classes.
 
     Documents whose ``crc32(id as text) mod modulus`` is ``remainder`` are held out. Null text counts as
-    empty (one token, the end); a null id counts as empty text for the split; repeated rows are scored
-    and counted each; with no training document or no words both models still give finite scores. Other columns are
-    ignored; an empty table gives no rows.
+    empty (one token, the end); a null id counts as empty text for the split; a null class is a class;
+    repeated rows are scored and counted each; with no training document or no words both models still
+    give finite scores. Other columns are ignored; an empty table gives no rows.
     """
-    chunks = scratch.table(chunked(docs, modulus, remainder, id_col, text_col), "chunks")
-    each = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select("w.words", "w.train").where("train > 0")
-    words = scratch.table(each.groupBy(F.col("words").alias("word")).agg(F.sum("train").alias("n")), "words")
-    sums = words.agg(F.sum("n"), F.count("n"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
-    trained = chunks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    total = Totals((sums[0] or 0) + trained, trained, sums[1] or 0, sums[2] or 0, sums[3] or 0)
-    lattice = Lattice.of(vocabulary, piece_counts(words, vocabulary), total.words)
+    chunks = scratch.table(chunked(docs, modulus, remainder, id_col, text_col, class_col), "chunks")
+    groups = chunks.select(F.explode("classes").alias("c")).groupBy("c.class").agg(F.sum("c.documents").alias("n"))
+    everything = groups.agg(F.sum("n")).first()[0] or 0
+    largest = groups.orderBy(F.desc("n"), "class").limit(MAX_CLASSES).collect()
+    names, documents = [r["class"] for r in largest], [r["n"] for r in largest]
+    if everything > sum(documents) or not names:
+        documents.append(everything - sum(documents))
+    classes = len(documents)
+    number = F.coalesce(*(F.when(F.col("t.class") == c, k) for k, c in enumerate(names)), F.lit(classes - 1))
+    each = chunks.select("words", F.explode("train").alias("t")).select(F.element_at("words", F.col("t.at") + 1).alias("word"), number.alias("k"), F.col("t.n").alias("n"))
+    words = each.groupBy("word").agg(F.sum("n").alias("n"), F.array(*(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)) for k in range(classes))).alias("own"))
+    words = scratch.table(words, "words")
+
+    def met(*times: int):
+        return [F.sum((F.col("own")[k] == t).cast("long") if t else (F.col("own")[k] > 0).cast("long")) for k in range(classes) for t in times]
+
+    sums = words.agg(F.sum("n"), F.count("n"), *(F.sum(F.col("own")[k]) for k in range(classes)), *met(0, 1, 2)).first()
+    all_words, distinct = sums[0] or 0, (sums[1] or 0) + (everything > 0)
+    total = []
+    for k, d in enumerate(documents):
+        kinds_met = [x or 0 for x in sums[2 + classes + 3 * k : 5 + classes + 3 * k]]
+        total.append(Totals((sums[2 + k] or 0) + d, d, *kinds_met))
+    tokens = all_words + everything
+    lattices = [Lattice.of(vocabulary, c, t.words) for c, t in zip(piece_counts(words, vocabulary, classes), total, strict=True)]
 
     def spell(batches):
         for batch in batches:
-            scores = [lattice.marginal(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["word", "n", "spelled"])
+            scores = [[x.marginal(w) for x in lattices] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.list_(pa.float32()))], names=["word", "n", "own", "spelled"])
 
-    known = scratch.table(words.mapInArrow(spell, "word string, n long, spelled double"), "known")
+    known = scratch.table(words.mapInArrow(spell, "word string, n long, own array<long>, spelled array<float>"), "known")
     wanted = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    facts = wanted.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "spelled")).alias("facts"))
-    facts = scratch.table(facts, "facts")
+    facts = wanted.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "own", "spelled")).alias("facts"))
 
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    distinct = total.words + (total.documents > 0)
 
     def score(batches):
-        base_of = lambda c: np.log10((c + 1) / (total.tokens + distinct + 1))
+        base_of = lambda c: np.log10((c + 1) / (tokens + distinct + 1))
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k] for i, n in enumerate(batch.schema.names)}
-                names = row["words"].values
-                count, spelled = np.zeros(len(names), np.int64), np.full(len(names), np.nan)
-                if row["facts"].is_valid:
+            for r in range(batch.num_rows):
+                row = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
+                word = row["words"].values
+                count, own = np.zeros(len(word), np.int64), np.zeros((len(word), classes))
+                spelled = np.full((len(word), classes), np.nan)
+                if row["facts"].is_valid and len(row["facts"].values):
                     found = row["facts"].values
                     at = found.field("at").to_numpy()
-                    count[at], spelled[at] = found.field("n").to_numpy(), found.field("spelled").to_numpy()
-                new = np.flatnonzero(np.isnan(spelled))
-                spelled[new] = [lattice.marginal(w) for w in names.take(pa.array(new)).to_pylist()]
-                with np.errstate(divide="ignore"):
-                    whole = np.log(np.maximum(count - total.discount, 0) / max(total.tokens, 1))
-                model = np.logaddexp(whole, math.log(total.spelled) + spelled) / math.log(10)
-                sizes, tokens = row["sizes"].values.to_numpy(), row["tokens"].values.to_numpy()
+                    count[at] = found.field("n").to_numpy()
+                    own[at] = found.field("own").flatten().to_numpy().reshape(-1, classes)
+                    spelled[at] = found.field("spelled").flatten().to_numpy().reshape(-1, classes)
+                new = np.flatnonzero(np.isnan(spelled[:, 0]))
+                if len(new):
+                    spelled[new] = [[x.marginal(w) for x in lattices] for w in word.take(pa.array(new)).to_pylist()]
+                sizes, at = row["sizes"].values.to_numpy(), row["tokens"].values.to_numpy()
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                add = lambda x: np.bincount(doc, x[tokens], len(sizes))  # noqa: B023, E731
+                add = lambda x: np.bincount(doc, x[at], len(sizes))  # noqa: B023, E731
+                score = np.full(len(sizes), -np.inf)
+                for k, t in enumerate(total):
+                    with np.errstate(divide="ignore"):
+                        whole = np.log(np.maximum(own[:, k] - t.discount, 0) / max(t.tokens, 1))
+                    model = add(np.logaddexp(whole, math.log(t.spelled) + spelled[:, k])) + math.log(t.end)
+                    score = np.logaddexp(score, model + math.log(t.documents / everything if everything else 1.0))
                 columns = [
-                    row["ids"].values, row["held"].values, sizes + 1, add((count > 0).astype(float)) + (trained > 0),
-                    np.full(len(sizes), total.tokens), add(base_of(count)) + base_of(trained), add(model) + math.log10(total.end or 0.5),
+                    row["ids"].values, row["held"].values, sizes + 1, add((count > 0).astype(float)) + (everything > 0),
+                    np.full(len(sizes), tokens), add(base_of(count)) + base_of(everything), score / math.log(10),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    both = chunks.join(facts, "chunk", "left").select("words", "ids", "held", "sizes", "tokens", "facts")
+    both = chunks.select("chunk", "words", "ids", "held", "sizes", "tokens").join(facts, "chunk", "left").drop("chunk")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.mapInArrow(score, schema)

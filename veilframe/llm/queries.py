@@ -54,7 +54,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(Scratch(spark, "op6"), table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return lm.score_documents(Scratch(spark, "op6"), table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), class_col="lang")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
