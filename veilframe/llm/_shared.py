@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,32 +90,87 @@ def components(scratch: Scratch, edges: DataFrame, name: str, max_rounds: int =
     return roots.join(least, "root").select("node", "component")
 
 
-def link_buckets(scratch: Scratch, members: DataFrame, confirm, name: str) -> DataFrame:
-    """Components of the links that ``confirm`` accepts among nodes that share a bucket.
+def pivot_links(scratch: Scratch, members: DataFrame, confirm, name: str) -> tuple[DataFrame, DataFrame]:
+    """Links of bucket members with one pivot each, and the members of buckets that these leave open.
 
     ``members`` has ``key, node`` (long), each combination once. ``confirm`` takes distinct pairs
-    ``a, b`` and returns those that are links. First every member is compared with its bucket's
-    smallest member, which is linear in the bucket. Members already in one component need no more
-    comparing; what is left compares all pairs of a bucket that lie in different components, so no
-    link that could join two components is lost and a large group of copies never becomes all its
-    pairs. Returns ``node, component`` for nodes with a link.
+    ``a, b`` with a < b and returns those that are links. Each bucket's pivot is picked by a hash, so a
+    node of several buckets meets several pivots; this is linear in the buckets' sizes. A bucket whose
+    members now lie in one component is done. Returns the links and ``key, node, root`` of the members
+    of all other buckets, root being the component so far.
     """
-    sizes = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pivots = scratch.table(sizes.where("n > 1").select("key", "pivot"), f"{name}-pivots")
+    pick = F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("id")))
+    sizes = members.groupBy("key").agg(pick.alias("p"), F.count(F.lit(1)).alias("n"))
+    pivots = scratch.table(sizes.where("n > 1").select("key", F.col("p.id").alias("pivot")), f"{name}-pivots")
     live = scratch.table(members.join(pivots, "key").select("key", "node", "pivot"), f"{name}-live")
-    star = live.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = scratch.table(star, f"{name}-star")
-    found = scratch.table(confirm(star), f"{name}-found")
+    pairs = live.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    found = scratch.table(confirm(scratch.table(pairs.distinct(), f"{name}-pairs")), f"{name}-found")
     groups = scratch.table(components(scratch, found, f"{name}-c1"), f"{name}-groups")
-
     tagged = live.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
     tagged = scratch.table(tagged, f"{name}-tagged")
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     mixed = scratch.table(mixed, f"{name}-mixed")
     rest = scratch.table(tagged.join(mixed, "key"), f"{name}-rest")
-    left, right = (rest.select("key", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    pairs = left.join(right, "key").where("a < b AND ra <> rb").select("a", "b").distinct()
-    pairs = scratch.table(pairs.join(star, ["a", "b"], "left_anti"), f"{name}-pairs")
-    more = scratch.table(confirm(pairs), f"{name}-more")
-    scratch.drop(*(f"{name}-{x}" for x in ("pivots", "live", "star", "groups", "tagged", "mixed", "rest", "pairs")))
-    return components(scratch, found.union(more), f"{name}-c2")
+    scratch.drop(*(f"{name}-{x}" for x in ("pivots", "live", "pairs", "groups", "tagged", "mixed")))
+    return found, rest
+
+
+def block_pairs(scratch: Scratch, rows: DataFrame, keys: list[str], node: str, size: int, name: str) -> DataFrame:
+    """Deal the rows of each key to pairs of blocks of about ``size`` rows: adds ``block, i, j`` with i <= j.
+
+    Any two rows of a key meet in the pair ``i, j`` of their blocks; a key that fits into a block has
+    one pair. Whoever groups by key, i and j never holds more than two blocks.
+    """
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    blocks = scratch.table(blocks, f"{name}-blocks")
+    dealt = rows.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def map_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """Run ``work`` on the rows of each key, given as one Arrow record batch; a key's rows must fit into a task's memory.
+
+    ``work`` returns a record batch or None. The rows are dealt and sorted by key and read as a stream,
+    so many small keys cost no more than their rows.
+    """
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks()
+            new = np.zeros(table.num_rows - 1, bool)
+            for k in keys:
+                column = table.column(k).combine_chunks()
+                new |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            whole = table.to_batches()[0]
+            for first, end in zip(starts, starts[1:], strict=False):
+                if (out := work(whole[first:end])) is not None:
+                    yield out
+            kept = whole[starts[-1] :]
+        if kept is not None and (out := work(kept)) is not None:
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what a matrix of links joins, at most one less than there are nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    out = []
+    for i in np.flatnonzero(links.any(1)):
+        mine = root(int(left[i]))
+        for other in right[links[i]].tolist():
+            if (theirs := root(other)) != mine:
+                parent[theirs] = mine
+                out.append((int(left[i]), other))
+    return out

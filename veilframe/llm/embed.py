@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Scratch, components
+from veilframe.llm._shared import Scratch, block_pairs, components, forest, map_groups
 
 #: Rows that the cells are fitted to at most, rows of a cell at which more cells are made, and most cells.
 FIT_ROWS, CELL_ROWS, MAX_CELLS = 20_000, 1000, 512
@@ -92,77 +92,33 @@ def assign(reps: DataFrame, centres: dict[int, np.ndarray], slack: float) -> Dat
     return reps.select("vec_id", "label", "copies", "v").mapInArrow(run, schema)
 
 
-def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what the links join, at most one less than there are rows."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
-
-    out = []
-    for i in np.flatnonzero(links.any(1)):
-        mine = root(int(left[i]))
-        for other in right[links[i]].tolist():
-            if (theirs := root(other)) != mine:
-                parent[theirs] = mine
-                out.append((int(left[i]), other))
-    return out
-
-
-def compare_blocks(dealt: DataFrame, threshold: float) -> DataFrame:
-    """Links within each pair of blocks: ``kind`` 0 counts links of ``a`` in ``n``, ``kind`` 1 is an edge ``a, b``."""
-    keys = ["label", "dim", "cell", "i", "j"]
-
-    def pairs(rows: list[tuple], out: list[tuple]) -> None:
-        ids = np.array([r[0] for r in rows])
-        copies = np.array([r[1] for r in rows])
-        block = np.array([r[2] for r in rows])
-        home = np.array([r[3] for r in rows])
-        v = np.array([r[4] for r in rows])
-        low, high = rows[0][5]
-        a = np.flatnonzero((block == low) & home)
-        b = np.flatnonzero(block == high)
-        # Home rows of one block with the rows of the other, and the other way round for its home rows.
-        for x, y in ((a, b),) if low == high else ((a, b), (np.flatnonzero((block == high) & home), np.flatnonzero((block == low) & ~home))):
-            if not len(x) or not len(y):
-                continue
-            links = v[x] @ v[y].T >= threshold
-            both = home[y][None] & home[x][:, None]
-            if low == high:
-                links &= ~both | (ids[x][:, None] < ids[y][None])
-            if not links.any():
-                continue
-            for rows_, n in ((ids[x], links @ copies[y]), (ids[y], copies[x] @ links)):
-                out += [(0, int(i), 0, int(c)) for i, c in zip(rows_, n, strict=True) if c]
-            out += [(1, p, q, 0) for p, q in forest(links, ids[x], ids[y])]
+def compare(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch | None:
+    """Links within a pair of blocks: ``kind`` 0 counts links of ``a`` in ``n``, ``kind`` 1 is an edge ``a, b``.
 
-    def run(batches):
-        rows: list[tuple] = []
-        key = None
-        for batch in batches:
-            out: list[tuple] = []
-            cols = [batch.column(batch.schema.names.index(k)).to_pylist() for k in [*keys, "vec_id", "copies", "block", "home", "v"]]
-            for label, dim, cell, i, j, *row in zip(*cols, strict=True):
-                if key != (label, dim, cell, i, j):
-                    if rows:
-                        pairs(rows, out)
-                    rows, key = [], (label, dim, cell, i, j)
-                rows.append((*row, (i, j)))
-            yield _links(out)
-        out = []
-        if rows:
-            pairs(rows, out)
-        yield _links(out)
-
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "kind int, a long, b long, n long")
-
-
-def _links(rows: list[tuple]) -> pa.RecordBatch:
+    At least one side of a pair is at home in the cell; two that are both at home count once.
+    """
+    ids, copies, block = (batch.column(x).to_numpy() for x in ("vec_id", "copies", "block"))
+    home, v = batch.column("home").to_numpy(zero_copy_only=False), _matrix(batch.column("v"))
+    low, high = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
+    left, right = np.flatnonzero((block == low) & home), np.flatnonzero(block == high)
+    sides = [(left, right)]
+    if low != high:
+        sides.append((np.flatnonzero((block == high) & home), np.flatnonzero((block == low) & ~home)))
+    out: list[tuple[int, int, int, int]] = []
+    for x, y in sides:
+        if not len(x) or not len(y):
+            continue
+        links = v[x] @ v[y].T >= threshold
+        if low == high:
+            links &= ~home[y][None] | (ids[x][:, None] < ids[y][None])
+        if links.any():
+            for who, n in ((ids[x], links @ copies[y]), (ids[y], copies[x] @ links)):
+                out += [(0, i, 0, c) for i, c in zip(who.tolist(), n.tolist(), strict=True) if c]
+            out += [(1, p, q, 0) for p, q in forest(links, ids[x], ids[y])]
+    if not out:
+        return None
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "a", "b", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["kind", "a", "b", "n"])
 
 
 def dedup_embeddings(
@@ -197,12 +153,9 @@ def dedup_embeddings(
         centres[dim] = spherical_kmeans(sample, int(np.clip(n // CELL_ROWS, 1, MAX_CELLS)))
     placed = scratch.table(assign(reps, centres, slack), "placed")
     in_cell = ["label", "dim", "cell"]
-    blocks = placed.groupBy(*in_cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocks = scratch.table(blocks, "blocks")
-    dealt = placed.join(blocks, in_cell).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = scratch.table(compare_blocks(dealt.drop("blocks", "other"), threshold), "found")
+    dealt = block_pairs(scratch, placed, in_cell, "vec_id", BLOCK_ROWS, "cells")
+    found = map_groups(dealt, [*in_cell, "i", "j"], lambda x: compare(x, threshold), "kind int, a long, b long, n long")
+    found = scratch.table(found, "found")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     edges = found.where("kind = 1").select("a", "b")
     groups = components(scratch, edges, "links")

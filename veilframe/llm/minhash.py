@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Scratch, link_buckets
+from veilframe.llm._shared import Scratch, block_pairs, components, forest, map_groups, pivot_links
 from veilframe.llm._words import hashed_words, mix, shingles
 
 WIDTH = 5
@@ -19,6 +19,8 @@ MINIMA, BITS = 128, 4
 LONGS = MINIMA * BITS // 64
 #: How far below the threshold the estimate may lie: five standard deviations of it.
 MARGIN = 0.165
+#: Members of a bucket that are compared at once, and shingles that a product takes at once.
+BLOCK_ROWS, PRODUCT_COLUMNS = 1024, 4096
 #: The sketch multiplies each shingle by these.
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 11
@@ -99,6 +101,59 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def nibbles(batch: pa.RecordBatch) -> np.ndarray:
+    """The low bits of the minima of each row, one to a byte."""
+    longs = np.stack([batch.column(f"s{k}").to_numpy() for k in range(LONGS)], 1)
+    raw = np.ascontiguousarray(longs).view(np.uint8).reshape(batch.num_rows, -1)
+    return np.concatenate([raw & 15, raw >> 4], 1)
+
+
+def screen(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
+    """Of the members of a bucket, those that could be linked with one of another component, by sizes and estimates."""
+    root, size, low = batch.column("root").to_numpy(), batch.column("n_shingles").to_numpy(), nibbles(batch)
+    least = (percent / 100 - MARGIN) * (1 - 2.0**-BITS) + 2.0**-BITS
+    keep = np.zeros(len(root), bool)
+    step = max(1, (1 << 22) // (len(root) * MINIMA))
+    for k in range(0, len(root), step):
+        part = slice(k, k + step)
+        near = (low[part, None] == low[None]).sum(2) >= least * MINIMA
+        near &= root[part, None] != root[None]
+        near &= 100 * np.minimum(size[part, None], size[None]) >= percent * np.maximum(size[part, None], size[None])
+        keep[part] |= near.any(1)
+    return batch.filter(pa.array(keep)).select(["key", "i", "j", "node", "root"]) if keep.any() else None
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products over the shingles that several sets have."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)))
+    width = int(number[-1]) + 1 if len(number) else 0
+    for k in range(0, width, PRODUCT_COLUMNS):
+        a, b = np.searchsorted(column, [k, k + PRODUCT_COLUMNS])
+        part = np.zeros((len(sets), min(PRODUCT_COLUMNS, width - k)), np.float32)
+        part[owner[a:b], column[a:b] - k] = 1
+        total += part @ part.T
+    return total
+
+
+def join_components(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
+    """Links between different components in a bucket, as edges of a forest; full sets decide."""
+    sets = [x.values.to_numpy() for x in batch.column("shingles")]
+    node, root, size = batch.column("node").to_numpy(), batch.column("root").to_numpy(), np.array([len(x) for x in sets])
+    both = common_counts(sets)
+    links = (100 * both >= percent * (size[:, None] + size[None] - both)) & (root[:, None] != root[None])
+    edges = forest(links, node, node)
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"]) if edges else None
+
+
 def dedup_minhash(
     scratch: Scratch, docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -124,23 +179,34 @@ def dedup_minhash(
     members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
     facts = reps.select("doc_id", "n_shingles", *signs)
     side = lambda n: facts.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n{n}"), *(F.col(x).alias(f"{n}{x}") for x in signs))
-    step = iter(range(9))
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        k = next(step)
         near = pairs.join(side("a"), "a").join(side("b"), "b")
         near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         guess = estimate([F.col(f"a{x}") for x in signs], [F.col(f"b{x}") for x in signs])
-        near = scratch.table(near.where(guess >= percent / 100 - MARGIN).select("a", "b", "na", "nb"), f"near-{k}")
-        wanted = scratch.table(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), f"wanted-{k}")
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-        full = scratch.table(full_sets(texts, "id", "text").dropDuplicates(["doc_id"]), f"full-{k}")
+        near = scratch.table(near.where(guess >= percent / 100 - MARGIN).select("a", "b", "na", "nb"), "near")
+        wanted = scratch.table(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "wanted")
+        full = scratch.table(full_sets(chosen(wanted), "id", "text").dropDuplicates(["doc_id"]), "full")
         left, right = (full.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
         common = F.size(F.array_intersect("set_a", "set_b"))
         both = near.join(left, "a").join(right, "b").withColumn("common", common)
         return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
-    groups = scratch.table(link_buckets(scratch, members, confirm, "links"), "components")
+    found, rest = pivot_links(scratch, members, confirm, "links")
+    # Buckets that hold several components still: compare all their members in blocks, put out a forest.
+    rest = rest.join(facts, rest["node"] == facts["doc_id"]).drop("doc_id")
+    open_rows = block_pairs(scratch, scratch.table(rest, "open"), ["key"], "node", BLOCK_ROWS, "open")
+    pair = ["key", "i", "j"]
+    close = map_groups(open_rows, pair, lambda x: screen(x, percent), "key long, i int, j int, node long, root long")
+    close = scratch.table(close, "close")
+    sets = full_sets(chosen(close.select(F.col("node").alias("id")).distinct()), "id", "text").dropDuplicates(["doc_id"])
+    sets = scratch.table(sets, "close-sets")
+    close = close.join(sets, close["node"] == sets["doc_id"]).drop("doc_id")
+    more = scratch.table(map_groups(close, pair, lambda x: join_components(x, percent), "a long, b long"), "more")
+    groups = scratch.table(components(scratch, found.union(more), "all"), "components")
     # Sets first, then documents: a hot set is one row on one side and only its documents on the other.
     by_set = firsts.join(groups, firsts["first"] == groups["node"], "left")
     by_set = scratch.table(by_set.select("digest", F.coalesce("component", "first").alias("component")), "by-set")
