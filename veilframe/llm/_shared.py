@@ -157,9 +157,12 @@ def map_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what a matrix of links joins, at most one less than there are nodes."""
-    parent: dict[int, int] = {}
+def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray, parent: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Edges that join what a matrix of links joins, at most one less than there are nodes.
+
+    ``parent`` carries what is joined already from one part of a matrix to the next.
+    """
+    parent = {} if parent is None else parent
 
     def root(x: int) -> int:
         while (p := parent.setdefault(x, x)) != x:

@@ -19,8 +19,9 @@ MINIMA, BITS = 128, 4
 LONGS = MINIMA * BITS // 64
 #: How far below the threshold the estimate may lie: five standard deviations of it.
 MARGIN = 0.165
-#: Members of a bucket that are compared at once, and shingles that a product takes at once.
-BLOCK_ROWS, PRODUCT_COLUMNS = 1024, 4096
+#: Members of a bucket or cluster in a block, shingles that a product takes at once, and how many
+#: members have a shingle at most for which its pairs are counted one by one instead.
+BLOCK_ROWS, PRODUCT_COLUMNS, FEW = 512, 4096, 64
 #: The sketch multiplies each shingle by these.
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 11
@@ -109,49 +110,58 @@ def nibbles(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def screen(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
-    """Of the members of a bucket, those that could be linked with one of another component, by sizes and estimates."""
-    root, size, low = batch.column("root").to_numpy(), batch.column("n_shingles").to_numpy(), nibbles(batch)
+    """Members of a bucket in different components that could be linked by sizes and estimates, as edges of a forest."""
+    node, root, size, low = (*(batch.column(x).to_numpy() for x in ("node", "root", "n_shingles")), nibbles(batch))
     least = (percent / 100 - MARGIN) * (1 - 2.0**-BITS) + 2.0**-BITS
-    keep = np.zeros(len(root), bool)
+    edges, parent = [], {}
     step = max(1, (1 << 22) // (len(root) * MINIMA))
     for k in range(0, len(root), step):
         part = slice(k, k + step)
         near = (low[part, None] == low[None]).sum(2) >= least * MINIMA
         near &= root[part, None] != root[None]
         near &= 100 * np.minimum(size[part, None], size[None]) >= percent * np.maximum(size[part, None], size[None])
-        keep[part] |= near.any(1)
-    return batch.filter(pa.array(keep)).select(["key", "i", "j", "node", "root"]) if keep.any() else None
+        edges += forest(near, node[part], node, parent)
+    return as_edges(edges)
+
+
+def as_edges(edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"]) if edges else None
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products over the shingles that several sets have."""
+    """Sizes of the intersections of all pairs of sets.
+
+    Shingles of few sets add one to each of their pairs; those of many sets go into matrix products.
+    """
+    n = len(sets)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    use = shared[column]
-    owner, column = owner[use], number[column[use]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = np.zeros((len(sets), len(sets)))
-    width = int(number[-1]) + 1 if len(number) else 0
-    for k in range(0, width, PRODUCT_COLUMNS):
-        a, b = np.searchsorted(column, [k, k + PRODUCT_COLUMNS])
-        part = np.zeros((len(sets), min(PRODUCT_COLUMNS, width - k)), np.float32)
-        part[owner[a:b], column[a:b] - k] = 1
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])[order]
+    _, first, times = np.unique(flat[order], return_index=True, return_counts=True)
+    total = np.zeros(n * n)
+    for d in np.unique(times[(times > 1) & (times <= FEW)]).tolist():
+        at = first[times == d]
+        for k in range(0, len(at), step := max(1, (1 << 22) // (d * d))):
+            own = owner[at[k : k + step, None] + np.arange(d)]
+            total += np.bincount((own[:, :, None] * n + own[:, None, :]).ravel(), minlength=n * n)
+    total = total.reshape(n, n)
+    many = np.flatnonzero(times > FEW)
+    for k in range(0, len(many), PRODUCT_COLUMNS):
+        columns = many[k : k + PRODUCT_COLUMNS]
+        part = np.zeros((n, len(columns)), np.float32)
+        for c, i in enumerate(columns):
+            part[owner[first[i] : first[i] + times[i]], c] = 1
         total += part @ part.T
     return total
 
 
 def join_components(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
-    """Links between different components in a bucket, as edges of a forest; full sets decide."""
+    """Links between different components in a cluster, as edges of a forest; full sets decide."""
     sets = [x.values.to_numpy() for x in batch.column("shingles")]
     node, root, size = batch.column("node").to_numpy(), batch.column("root").to_numpy(), np.array([len(x) for x in sets])
     both = common_counts(sets)
     links = (100 * both >= percent * (size[:, None] + size[None] - both)) & (root[:, None] != root[None])
-    edges = forest(links, node, node)
-    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"]) if edges else None
+    return as_edges(forest(links, node, node))
 
 
 def dedup_minhash(
@@ -196,16 +206,19 @@ def dedup_minhash(
         return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
     found, rest = pivot_links(scratch, members, confirm, "links")
-    # Buckets that hold several components still: compare all their members in blocks, put out a forest.
-    rest = rest.join(facts, rest["node"] == facts["doc_id"]).drop("doc_id")
-    open_rows = block_pairs(scratch, scratch.table(rest, "open"), ["key"], "node", BLOCK_ROWS, "open")
-    pair = ["key", "i", "j"]
-    close = map_groups(open_rows, pair, lambda x: screen(x, percent), "key long, i int, j int, node long, root long")
-    close = scratch.table(close, "close")
-    sets = full_sets(chosen(close.select(F.col("node").alias("id")).distinct()), "id", "text").dropDuplicates(["doc_id"])
+    # Buckets that hold several components still: what estimates can't tell apart there forms clusters,
+    # and each cluster's members are compared by their full sets in blocks. No pairs leave a task.
+    roots = scratch.table(rest.select("node", "root").distinct(), "roots")
+    rest = scratch.table(rest.join(facts, rest["node"] == facts["doc_id"]).drop("doc_id"), "open")
+    maybe = map_groups(block_pairs(scratch, rest, ["key"], "node", BLOCK_ROWS, "open"), ["key", "i", "j"], lambda x: screen(x, percent), "a long, b long")
+    close = components(scratch, scratch.table(maybe, "maybe"), "maybe").withColumnRenamed("component", "cluster").join(roots, "node")
+    close = block_pairs(scratch, scratch.table(close, "close"), ["cluster"], "node", BLOCK_ROWS, "close")
+    sets = full_sets(chosen(scratch.table(close.select(F.col("node").alias("id")).distinct(), "close-ids")), "id", "text").dropDuplicates(["doc_id"])
     sets = scratch.table(sets, "close-sets")
-    close = close.join(sets, close["node"] == sets["doc_id"]).drop("doc_id")
-    more = scratch.table(map_groups(close, pair, lambda x: join_components(x, percent), "a long, b long"), "more")
+    close = close.select("cluster", "i", "j", "node", "root").join(sets, close["node"] == sets["doc_id"]).drop("doc_id")
+    more = map_groups(close, ["cluster", "i", "j"], lambda x: join_components(x, percent), "a long, b long")
+    more = scratch.table(more, "more")
+    scratch.drop("open", "maybe", "close", "close-ids", "close-sets", "near", "wanted", "full")
     groups = scratch.table(components(scratch, found.union(more), "all"), "components")
     # Sets first, then documents: a hot set is one row on one side and only its documents on the other.
     by_set = firsts.join(groups, firsts["first"] == groups["node"], "left")
