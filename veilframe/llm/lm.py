@@ -110,17 +110,17 @@ def piece_counts(words: DataFrame, path: str, classes: int) -> list[Counter]:
 
 @dataclass
 class Lattice:
-    """Scores of the pieces with which a word may begin or go on, and of ending it; natural logarithms."""
+    """Scores, one for each class, of the pieces with which a word may begin or go on, and of ending it; natural logarithms."""
 
-    first: dict[str, float]
-    rest: dict[str, float]
-    byte: list[float]
-    stop: float
+    first: dict[str, tuple[float, ...]]
+    rest: dict[str, tuple[float, ...]]
+    byte: list[tuple[float, ...]]
+    stop: tuple[float, ...]
     prefixes: frozenset[str]
 
     @classmethod
-    def of(cls, path: str, counts: Counter, types: int) -> Lattice:
-        """Shares of the pieces among the first and among the later ones of the distinct words, each with a floor."""
+    def of(cls, path: str, counts: list[Counter], types: list[int]) -> Lattice:
+        """Shares of the pieces among the first and among the later ones of each class's distinct words, each with a floor."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -128,50 +128,60 @@ class Lattice:
         names = {i: model.id_to_piece(i) for i in plain}
         start = {i for i in plain if names[i].startswith(MARK)}
         later = [i for i in plain if i not in start]
-        weight = {i: counts[i] + PIECE_FLOOR for i in plain}
-        sum_first, sum_later = sum(weight[i] for i in start), sum(weight[i] for i in later)
-        stop = (types + 1) / (types + 2 + sum(counts[i] for i in later))
-        go = math.log1p(-stop)
-        first = {names[i]: math.log(weight[i] / sum_first) for i in start}
-        rest = {names[i]: go + math.log(weight[i] / sum_later) for i in later if not model.is_byte(i)}
-        byte = [0.0] * 256
+        scores: dict[int, list[float]] = {i: [] for i in plain}
+        stops = []
+        for c, t in zip(counts, types, strict=True):
+            weight = {i: c[i] + PIECE_FLOOR for i in plain}
+            stop = (t + 1) / (t + 2 + sum(c[i] for i in later))
+            stops.append(math.log(stop))
+            for part, extra in ((start, 0.0), (later, math.log1p(-stop))):
+                total = sum(weight[i] for i in part)
+                for i in part:
+                    scores[i].append(extra + math.log(weight[i] / total))
+        first = {names[i]: tuple(scores[i]) for i in start}
+        rest = {names[i]: tuple(scores[i]) for i in later if not model.is_byte(i)}
+        byte = [()] * 256
         for i in later:
             if model.is_byte(i):
-                byte[int(names[i][3:5], 16)] = go + math.log(weight[i] / sum_later)
+                byte[int(names[i][3:5], 16)] = tuple(scores[i])
         prefixes = frozenset(p[:k] for p in (*first, *rest) for k in range(1, len(p) + 1))
-        return cls(first, rest, byte, math.log(stop), prefixes)
+        return cls(first, rest, byte, tuple(stops), prefixes)
 
-    def marginal(self, word: str) -> float:
-        """Log-probability of a word, summed over all its segmentations by forward recursion.
+    def marginal(self, word: str) -> list[float]:
+        """For each class the log-probability of a word, summed over all its segmentations by forward recursion.
 
         A character that is no piece goes by its bytes.
         """
         text = MARK + word
-        n = len(text)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
+        n, prefixes, classes = len(text), self.prefixes, range(len(self.stop))
+        arrive: list[list[list[float]]] = [[] for _ in range(n + 1)]
+        arrive[0].append([0.0] * len(self.stop))
         table = self.first
-        for i in range(n):
-            here = alpha[i]
-            if here == -math.inf:
+        here: list[float] = []
+        for i in range(n + 1):
+            came = arrive[i]
+            if not came:
                 continue
+            here = came[0] if len(came) == 1 else [sum_logs([c[k] for c in came]) for k in classes]
+            if i == n:
+                break
             for j in range(i + 1, n + 1):
                 piece = text[i:j]
-                if piece not in self.prefixes:
+                if piece not in prefixes:
                     break
-                score = table.get(piece)
-                if score is not None:
-                    alpha[j] = add_logs(alpha[j], here + score)
+                if (score := table.get(piece)) is not None:
+                    arrive[j].append([x + y for x, y in zip(here, score)])  # noqa: B905
             if i and text[i] not in table:
-                alpha[i + 1] = add_logs(alpha[i + 1], here + sum(self.byte[b] for b in text[i].encode("utf-8", "surrogatepass")))
+                spelled = [self.byte[b] for b in text[i].encode("utf-8", "surrogatepass")]
+                arrive[i + 1].append([x + sum(s[k] for s in spelled) for k, x in enumerate(here)])
+            arrive[i] = []
             table = self.rest
-        return alpha[n] + self.stop
+        return [x + y for x, y in zip(here, self.stop, strict=True)]
 
 
-def add_logs(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+def sum_logs(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum([math.exp(t - top) for t in terms]))
 
 
 @dataclass
@@ -242,16 +252,23 @@ def score_documents(
         kinds_met = [x or 0 for x in sums[2 + classes + 3 * k : 5 + classes + 3 * k]]
         total.append(Totals((sums[2 + k] or 0) + d, d, *kinds_met))
     tokens = all_words + everything
-    lattices = [Lattice.of(vocabulary, c, t.words) for c, t in zip(piece_counts(words, vocabulary, classes), total, strict=True)]
+    lattice = Lattice.of(vocabulary, piece_counts(words, vocabulary, classes), [t.words for t in total])
+    spelled = np.log([t.spelled for t in total])
+    models = [f"m{k}" for k in range(classes)]
 
     def spell(batches):
         for batch in batches:
-            scores = [[x.marginal(w) for x in lattices] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.list_(pa.float32()))], names=["word", "n", "own", "spelled"])
-
-    known = scratch.table(words.mapInArrow(spell, "word string, n long, own array<long>, spelled array<float>"), "known")
+            own = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, classes)
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(own - [t.discount for t in total], 0) / [max(t.tokens, 1) for t in total])
+            score = np.array([lattice.marginal(w) for w in batch.column(0).to_pylist()]).reshape(-1, classes)
+            score = np.logaddexp(whole, spelled + score).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, score.T.copy())], names=["word", "n", *models])
+
+    known = scratch.table(words.mapInArrow(spell, "word string, n long, " + ", ".join(f"{m} float" for m in models)), "known")
+    scratch.drop("words")
     wanted = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    facts = wanted.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "own", "spelled")).alias("facts"))
+    facts = wanted.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", *models)).alias("facts"))
 
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
@@ -261,26 +278,22 @@ def score_documents(
             for r in range(batch.num_rows):
                 row = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
                 word = row["words"].values
-                count, own = np.zeros(len(word), np.int64), np.zeros((len(word), classes))
-                spelled = np.full((len(word), classes), np.nan)
+                count, model = np.zeros(len(word), np.int64), np.full((len(word), classes), np.nan)
                 if row["facts"].is_valid and len(row["facts"].values):
                     found = row["facts"].values
                     at = found.field("at").to_numpy()
                     count[at] = found.field("n").to_numpy()
-                    own[at] = found.field("own").flatten().to_numpy().reshape(-1, classes)
-                    spelled[at] = found.field("spelled").flatten().to_numpy().reshape(-1, classes)
-                new = np.flatnonzero(np.isnan(spelled[:, 0]))
+                    model[at] = np.stack([found.field(m).to_numpy() for m in models], 1)
+                new = np.flatnonzero(count == 0)
                 if len(new):
-                    spelled[new] = [[x.marginal(w) for x in lattices] for w in word.take(pa.array(new)).to_pylist()]
+                    model[new] = spelled + [lattice.marginal(w) for w in word.take(pa.array(new)).to_pylist()]
                 sizes, at = row["sizes"].values.to_numpy(), row["tokens"].values.to_numpy()
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 add = lambda x: np.bincount(doc, x[at], len(sizes))  # noqa: B023, E731
                 score = np.full(len(sizes), -np.inf)
                 for k, t in enumerate(total):
-                    with np.errstate(divide="ignore"):
-                        whole = np.log(np.maximum(own[:, k] - t.discount, 0) / max(t.tokens, 1))
-                    model = add(np.logaddexp(whole, math.log(t.spelled) + spelled[:, k])) + math.log(t.end)
-                    score = np.logaddexp(score, model + math.log(t.documents / everything if everything else 1.0))
+                    text = add(model[:, k]) + math.log(t.end)
+                    score = np.logaddexp(score, text + math.log(t.documents / everything if everything else 1.0))
                 columns = [
                     row["ids"].values, row["held"].values, sizes + 1, add((count > 0).astype(float)) + (everything > 0),
                     np.full(len(sizes), tokens), add(base_of(count)) + base_of(everything), score / math.log(10),
