@@ -30,7 +30,10 @@ class PieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.alone = self.prove()
-        self.known: dict[str, int] = dict.fromkeys(self.alone, 1)
+        # A mark with nothing after it ends a text; by itself the library would take it for the one that it adds.
+        last = len(self.model.encode("a ")) - len(self.model.encode("a"))
+        self.proven = dict.fromkeys(self.alone, 1) | {MARK: last}
+        self.known: dict[str, int] = dict(self.proven)
 
     def prove(self) -> set[str]:
         """Words (with their mark) that encode alone as one token; raises if words could merge with each other."""
@@ -54,7 +57,7 @@ class PieceCounter:
     def count(self, texts: list[str]) -> list[int]:
         split = [self.words(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known = dict.fromkeys(self.alone, 1)
+            self.known = dict(self.proven)
         known = self.known
         if new := {w for words in split for w in words if w not in known}:
             self.learn(new)
