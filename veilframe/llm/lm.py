@@ -23,10 +23,27 @@ MAX_CLASSES = 8
 #: Added to every piece's count.
 PIECE_FLOOR = 0.05
 
+#: Rows of facts that a task holds before it packs them by chunk.
+HOLD_ROWS = 1 << 19
+
 CHUNKS = (
     "chunk long, words array<string>, train array<struct<at: int, class: string, n: long>>,"
-    " classes array<struct<class: string, documents: long>>, ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>"
+    " classes array<struct<class: string, documents: long>>, ids array<long>, held array<boolean>, sizes array<int>,"
+    " distinct int, tokens binary"
 )
+PACKED = "chunk long, size int, known binary, new_at array<int>, new array<string>"
+
+
+def squeeze(rows: np.ndarray) -> bytes:
+    """Compress an array with equal bytes of all rows side by side."""
+    return pa.compress(rows.view(np.uint8).reshape(len(rows), -1).T.tobytes(), "zstd", asbytes=True) if len(rows) else b""
+
+
+def expand(data: bytes, size: int, kind: np.dtype) -> np.ndarray:
+    if not size:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.decompress(data, size * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, size).T).view(kind).reshape(size)
 
 
 class Numbered(dict):
@@ -42,42 +59,64 @@ def is_held_out(doc_id, modulus: int, remainder: int) -> bool:
 
 
 def chunked(docs: DataFrame, modulus: int, remainder: int, id_col: str, text_col: str, class_col: str | None) -> DataFrame:
-    """Runs of documents with their words numbered within the run, and how often training documents of each class have them."""
-    train_type = pa.list_(pa.struct([("at", pa.int32()), ("class", pa.string()), ("n", pa.int64())]))
+    """Runs of documents with their words numbered within the run, and how often training documents of each class have them.
+
+    Words are numbered by how often the run has them. The order of a document's tokens doesn't matter
+    for its score, so ``tokens`` has their numbers sorted, as differences.
+    """
+    train_fields = [("at", pa.int32()), ("class", pa.string()), ("n", pa.int64())]
+    train_type = pa.list_(pa.struct(train_fields))
     class_type = pa.list_(pa.struct([("class", pa.string()), ("documents", pa.int64())]))
     kinds = {
         "chunk": pa.int64(), "words": pa.list_(pa.string()), "train": train_type, "classes": class_type, "ids": pa.list_(pa.int64()),
-        "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "tokens": pa.list_(pa.int32()),
+        "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "distinct": pa.int32(), "tokens": pa.binary(),
     }
 
     def pack(number, ids, texts, classes):
         index = Numbered()
         tokens = [np.fromiter(map(index.__getitem__, t.lower().split()), np.int32) for t in texts]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.concatenate(tokens)
+        order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         held = [is_held_out(i, modulus, remainder) for i in ids]
         of_class: dict[str, list[np.ndarray]] = {}
         for t, h, c in zip(tokens, held, classes, strict=True):
             if not h:
                 of_class.setdefault(c, []).append(t)
-        train = []
+        at, n, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for c, own in of_class.items():
-            counts = np.bincount(np.concatenate(own), minlength=len(index))
-            train += [{"at": a, "class": c, "n": n} for a, n in zip(np.flatnonzero(counts).tolist(), counts[counts > 0].tolist(), strict=True)]
+            counts = np.bincount(rank[np.concatenate(own)], minlength=len(index))
+            at.append(np.flatnonzero(counts))
+            n.append(counts[at[-1]])
+            names += [c] * len(at[-1])
+        train = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(at), pa.int32()), pa.array(names, pa.string()), pa.array(np.concatenate(n), pa.int64())], fields=[pa.field(*f) for f in train_fields]
+        )
         groups = [{"class": c, "documents": len(own)} for c, own in of_class.items()]
-        row = (number, [w.decode("utf-8", "replace") for w in index], train, groups, ids, held, [len(t) for t in tokens], np.concatenate(tokens))
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
+        spelled = list(index)
+        words = pa.array([spelled[i].decode("utf-8", "replace") for i in order.tolist()], pa.string())
+        ranks = (np.sort((np.repeat(np.arange(len(sizes)), sizes) << 32) | rank[flat]) & 0xFFFFFFFF).astype(np.uint32)
+        packed = squeeze(np.diff(ranks, prepend=np.uint32(0)))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        rest = {"chunk": number, "classes": groups, "ids": ids, "held": held, "sizes": sizes, "distinct": len(order), "tokens": packed}
+        columns = {k: pa.array([v], kinds[k]) for k, v in rest.items()} | {"words": one(words), "train": one(train)}
+        return pa.RecordBatch.from_arrays([columns[k].cast(kinds[k]) for k in kinds], names=list(kinds))
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         ids, texts, classes, size = [], [], [], 0
         for batch in batches:
-            for i, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                ids.append(i)
-                texts.append((t or "").encode("utf-8", "surrogatepass"))
-                classes.append(c)
-                size += len(texts[-1])
-                if size >= CHUNK_BYTES:
-                    yield pack(number, ids, texts, classes)
-                    number, ids, texts, classes, size = number + 1, [], [], [], 0
+            for first in range(0, batch.num_rows, 100):
+                for i, t, c in zip(*(x.to_pylist() for x in batch[first : first + 100].columns), strict=True):
+                    ids.append(i)
+                    texts.append((t or "").encode("utf-8", "surrogatepass"))
+                    classes.append(c)
+                    size += len(texts[-1])
+                    if size >= CHUNK_BYTES:
+                        yield pack(number, ids, texts, classes)
+                        number, ids, texts, classes, size = number + 1, [], [], [], 0
         if ids:
             yield pack(number, ids, texts, classes)
 
@@ -229,7 +268,7 @@ def score_documents(
     repeated rows are scored and counted each; with no training document or no words both models still
     give finite scores. Other columns are ignored; an empty table gives no rows.
     """
-    chunks = scratch.table(chunked(docs, modulus, remainder, id_col, text_col, class_col), "chunks")
+    chunks = scratch.table(chunked(docs, modulus, remainder, id_col, text_col, class_col), "chunks", "zstd")
     groups = chunks.select(F.explode("classes").alias("c")).groupBy("c.class").agg(F.sum("c.documents").alias("n"))
     everything = groups.agg(F.sum("n")).first()[0] or 0
     largest = groups.orderBy(F.desc("n"), "class").limit(MAX_CLASSES).collect()
@@ -240,7 +279,7 @@ def score_documents(
     number = F.coalesce(*(F.when(F.col("t.class") == c, k) for k, c in enumerate(names)), F.lit(classes - 1))
     each = chunks.select("words", F.explode("train").alias("t")).select(F.element_at("words", F.col("t.at") + 1).alias("word"), number.alias("k"), F.col("t.n").alias("n"))
     words = each.groupBy("word").agg(F.sum("n").alias("n"), F.array(*(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)) for k in range(classes))).alias("own"))
-    words = scratch.table(words, "words")
+    words = scratch.table(words, "words", "zstd")
 
     def met(*times: int):
         return [F.sum((F.col("own")[k] == t).cast("long") if t else (F.col("own")[k] > 0).cast("long")) for k in range(classes) for t in times]
@@ -265,10 +304,44 @@ def score_documents(
             score = np.logaddexp(whole, spelled + score).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, score.T.copy())], names=["word", "n", *models])
 
-    known = scratch.table(words.mapInArrow(spell, "word string, n long, " + ", ".join(f"{m} float" for m in models)), "known")
+    known = scratch.table(words.mapInArrow(spell, "word string, n long, " + ", ".join(f"{m} float" for m in models)), "known", "zstd")
     scratch.drop("words")
     wanted = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    facts = wanted.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", *models)).alias("facts"))
+    met_here = wanted.join(known, "word", "left").select("chunk", "at", "n", F.when(F.col("n").isNull(), F.col("word")).alias("new"), *models)
+    fact = np.dtype([("at", "<u4"), ("n", "<i8"), ("m", "<f4", (classes,))])
+
+    def pack_facts(batches):
+        held, size = [], 0
+
+        def pack():
+            table = pa.Table.from_batches(held).combine_chunks().sort_by([("chunk", "ascending"), ("at", "ascending")]).combine_chunks()
+            chunk, at = table["chunk"].to_numpy(), table["at"].to_numpy()
+            seen = table["n"].is_valid().to_numpy()
+            every = np.zeros(len(chunk), fact)
+            every["n"] = table["n"].fill_null(0).to_numpy()
+            for k, m in enumerate(models):
+                every["m"][:, k] = table[m].fill_null(0).to_numpy()
+            starts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)).tolist()
+            rows = []
+            for a, b in zip(starts, [*starts[1:], len(chunk)], strict=True):
+                old, new = a + np.flatnonzero(seen[a:b]), a + np.flatnonzero(~seen[a:b])
+                known_here = every[old]
+                known_here["at"] = np.diff(at[old].astype(np.uint32), prepend=np.uint32(0))
+                rows.append((chunk[a], len(old), squeeze(known_here), at[new], table["new"].take(pa.array(new)).to_pylist()))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["chunk", "size", "known", "new_at", "new"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= HOLD_ROWS:
+                yield pack()
+                held, size = [], 0
+        if held:
+            yield pack()
+
+    facts = met_here.mapInArrow(pack_facts, PACKED).groupBy("chunk").agg(F.collect_list(F.struct("size", "known", "new_at", "new")).alias("facts"))
 
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
@@ -277,17 +350,15 @@ def score_documents(
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
-                word = row["words"].values
-                count, model = np.zeros(len(word), np.int64), np.full((len(word), classes), np.nan)
-                if row["facts"].is_valid and len(row["facts"].values):
-                    found = row["facts"].values
-                    at = found.field("at").to_numpy()
-                    count[at] = found.field("n").to_numpy()
-                    model[at] = np.stack([found.field(m).to_numpy() for m in models], 1)
-                new = np.flatnonzero(count == 0)
-                if len(new):
-                    model[new] = spelled + [lattice.marginal(w) for w in word.take(pa.array(new)).to_pylist()]
-                sizes, at = row["sizes"].values.to_numpy(), row["tokens"].values.to_numpy()
+                count, model = np.zeros(row["distinct"].as_py(), np.int64), np.zeros((row["distinct"].as_py(), classes))
+                for part in row["facts"].as_py() or ():
+                    found = expand(part["known"], part["size"], fact)
+                    at = np.cumsum(found["at"], dtype=np.uint32)
+                    count[at], model[at] = found["n"], found["m"]
+                    if part["new"]:
+                        model[part["new_at"]] = spelled + [lattice.marginal(w) for w in part["new"]]
+                sizes = row["sizes"].values.to_numpy()
+                at = np.cumsum(expand(row["tokens"].as_py(), int(sizes.sum()), np.dtype("<u4")), dtype=np.uint32)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 add = lambda x: np.bincount(doc, x[at], len(sizes))  # noqa: B023, E731
                 score = np.full(len(sizes), -np.inf)
@@ -300,6 +371,6 @@ def score_documents(
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    both = chunks.select("chunk", "words", "ids", "held", "sizes", "tokens").join(facts, "chunk", "left").drop("chunk")
+    both = chunks.select("chunk", "ids", "held", "sizes", "distinct", "tokens").join(facts, "chunk", "left").drop("chunk")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.mapInArrow(score, schema)
