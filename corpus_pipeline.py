@@ -21,31 +21,51 @@ MIX_BUDGET = 0.8
 ORACLE_SQL = None
 
 
-def without(scratch: Scratch, docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id isn't among ``gone``; its size on disk decides how Spark joins it."""
-    gone = scratch.table(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+#: The number that is each row's own within a stage; ids may be null or repeat.
+ROW = "__row"
+
+
+def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """The stage's input with ROW, written once so that all who read it see the same numbers."""
+    return scratch.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without(scratch: Scratch, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows that aren't among ``gone``, a table of numbers, without their number; its size on disk decides how Spark joins it."""
+    gone = scratch.table(gone.toDF(ROW), "gone")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(docs, threshold=QUALITY)
-    return without(Scratch(spark, "quality"), docs, scored.where("NOT kept"))
+    scratch = Scratch(spark, "quality")
+    rows = numbered(scratch, docs)
+    scored = quality.classify(rows, quality.fit(rows), QUALITY, ROW)
+    return without(scratch, rows, scored.where("NOT kept").select("doc_id"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(Scratch(spark, "exact"), docs, exact.dedup_exact(docs).where("NOT kept"))
+    scratch = Scratch(spark, "exact")
+    rows = numbered(scratch, docs)
+    return without(scratch, rows, exact.dedup_exact(rows, row_col=ROW).where("NOT kept").select("row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are the nodes; of each component the row with the smallest id stays, one without id only if none has one."""
     scratch = Scratch(spark, "near")
-    return without(scratch, docs, minhash.dedup_minhash(scratch, docs).where("NOT kept"))
+    rows = numbered(scratch, docs)
+    near = minhash.dedup_minhash(scratch, rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__group"))
+    near = scratch.table(near.join(rows.select(ROW, F.col("doc_id").cast("long").alias("__id")), ROW), "rows-of-groups")
+    order = F.struct(F.col("__id").isNull().alias("no_id"), "__id", ROW)
+    kept = scratch.table(near.groupBy("__group").agg(F.min(order).alias("__kept"), F.count(F.lit(1)).alias("__n")).where("__n > 1"), "kept-of-groups")
+    return without(scratch, rows, near.join(kept, "__group").where(F.col(ROW) != F.col(f"__kept.{ROW}")).select(ROW))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mix")
-    described = scratch.table(mixing.describe(docs), "described")
+    rows = numbered(scratch, docs)
+    described = scratch.table(mixing.describe(rows, row_col=ROW), "described")
     mixed = mixing.mix(scratch, described, language_targets(spark), MIX_BUDGET)
-    return without(scratch, docs, mixing.sample(described, mixed).where("NOT sampled"))
+    return without(scratch, rows, mixing.sample(described, mixed).where("NOT sampled").select("row"))
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

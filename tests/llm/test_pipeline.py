@@ -66,3 +66,35 @@ def test_stages_bear_an_empty_table(spark, sf_dir):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_decisions_hold_for_null_and_repeated_ids(spark, sf_dir):
+    """Each row stays or goes by its own decision; one of identical rows stays."""
+    texts = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in df.collect())
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (None, "same text", "en", "a", 1), (None, "same  text", "en", "a", 1), (1, "same\ntext", "en", "a", 1),
+        (2, "twice under one", "en", "a", 1), (2, "twice under  one", "en", "a", 1),
+        (3, "identical row", "en", "a", 1), (3, "identical row", "en", "a", 1),
+        (4, prose, "en", "a", 1), (None, prose + " end", "en", "a", 1), (None, prose + " end", "en", "a", 1),
+        (5, prose + " other", "en", "a", 1), (5, "a text of its own", "en", "a", 1), (None, "also of its own", "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    own = [(False, 5, "a text of its own"), (True, 0, "also of its own")]
+    found = texts(corpus_pipeline.drop_exact_copies(spark, docs, sf_dir))
+    assert [x for x in found if prose not in x[2]] == [(False, 2, "twice under  one"), (False, 3, "identical row"), own[0], own[1], (True, 0, "same  text")]
+    assert [x for x in found if prose in x[2]] == [(False, 4, prose), (False, 5, prose + " other"), (True, 0, prose + " end")]
+
+    found = texts(corpus_pipeline.drop_near_copies(spark, docs, sf_dir))
+    assert [x for x in found if prose in x[2]] == [(False, 4, prose)]
+    assert [x for x in found if "own" in x[2]] == own and found.count((False, 3, "identical row")) == 1
+
+    poor = [(None, None, "en", "a", 0), (7, "", "en", "a", 0), (7, (prose + ". ") * 3, "en", "a", 1)]
+    docs = spark.createDataFrame([*poor, *rows], DOCS)
+    model = quality.fit(docs)
+    want = [r["kept"] for r in quality.classify(docs.coalesce(1), model, QUALITY).collect()]
+    left = texts(corpus_pipeline.reject_low_quality(spark, docs, sf_dir))
+    assert left == sorted((i is None, i or 0, t) for (i, t, *_), k in zip([*poor, *rows], want, strict=True) if k)
+
+    left = texts(corpus_pipeline.mix_sources(spark, docs, sf_dir))
+    assert (True, 0, None) not in left and (False, 7, "") not in left

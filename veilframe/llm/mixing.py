@@ -30,14 +30,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, source, lang, topic, tokens`` with null source and language as 'unknown'."""
+def describe(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", row_col: str | None = None
+) -> DataFrame:
+    """``doc_id, source, lang, topic, tokens`` with null source and language as 'unknown'; also ``row``, if ``row_col`` names a number of the rows."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit(UNKNOWN)).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
         topic_of(F.col(text_col)).alias("topic"),
         words_of(F.col(text_col)).alias("tokens"),
+        *([] if row_col is None else [F.col(row_col).alias("row")]),
     )
 
 
@@ -123,7 +126,8 @@ def sample(described: DataFrame, mixed: DataFrame, seed: str = "mix") -> DataFra
     """Each document with its cell's weight and probability and whether it is in the sample.
 
     ``doc_id, source, lang, topic, tokens, cell_weight, probability, sampled``. A document of a cell
-    without tokens (no text, or only such documents) has probability 0 and isn't sampled; null source
+    without tokens (no text, or only such documents) has probability 0 and isn't sampled; ``row`` is
+    returned as well where ``described`` has it; null source
     and language count as 'unknown'; a null id draws the same number as any other null id; repeated
     rows of one id are all in or all out. An empty table gives no rows.
     """
@@ -133,4 +137,5 @@ def sample(described: DataFrame, mixed: DataFrame, seed: str = "mix") -> DataFra
     return out.select(
         "doc_id", *DIMENSIONS, "tokens", F.coalesce("cell_weight", F.lit(0.0)).alias("cell_weight"), p.alias("probability"),
         ((F.col("tokens") > 0) & (chance(F.col("doc_id"), seed) < p)).alias("sampled"),
+        *(["row"] if "row" in described.columns else []),
     )
