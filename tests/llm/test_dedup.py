@@ -117,6 +117,18 @@ def test_embeddings_match_brute_force(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found.collect()} == brute_vectors(rows)
 
 
+def test_several_cells_lose_no_link(spark, monkeypatch):
+    """Vectors near a curved surface of two dimensions, whose links cross the borders of the cells."""
+    monkeypatch.setattr(embed, "CELL_ROWS", 40)
+    rng = np.random.default_rng(8)
+    spread = rng.normal(size=(3, 16))
+    rows = [(i, 0, np.float32(rng.normal(size=3) @ spread).tolist()) for i in range(600)]
+    found = embed.dedup_embeddings(Scratch(spark, "e4"), spark.createDataFrame(rows, VECTORS), 0.985).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == brute_vectors(rows, 0.985)
+    found = embed.dedup_embeddings(Scratch(spark, "e5"), spark.createDataFrame(rows, VECTORS)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == brute_vectors(rows)
+
+
 def test_embeddings_odd_cases(spark):
     rows = [
         (1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0]), (3, None, [1.0, 0.0]), (4, 0, None), (5, 0, [0.0, 0.0]), (6, 0, [1.0, None]),

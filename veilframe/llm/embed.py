@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,16 +124,15 @@ def compare(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch | None:
 
 
 def dedup_embeddings(
-    scratch: Scratch, vectors: DataFrame, threshold: float = 0.93, slack: float = 0.2,
+    scratch: Scratch, vectors: DataFrame, threshold: float = 0.93, slack: float | None = None,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """Groups of vectors that cosines of at least ``threshold`` join, within equal labels.
 
     Equal vectors are put together first. Cells of spherical k-means are fitted to at most FIT_ROWS
     vectors; every vector is indexed. ``slack`` is how far from a cell's border a vector is still
-    compared in it: at ``sqrt(2 - 2 * threshold)``, the longest distance of a link, no link can be
-    missed; the default lies five standard deviations above what a link in random direction in 64
-    dimensions needs. Within a cell, blocks of bounded size are compared by cosine products in double
+    compared in it: at ``sqrt(2 - 2 * threshold)``, the longest distance of a link and the default, no
+    link can be missed. Within a cell, blocks of bounded size are compared by cosine products in double
     precision, which give counts of links and a spanning forest of them, never all pairs.
 
     Returns one row per input row: ``vec_id, n_links, component_id, kept``. Vectors without label, or
@@ -139,6 +140,7 @@ def dedup_embeddings(
     a null id, whose component is null. Vectors of different dimensions aren't compared. Rows that
     repeat an id count as vectors of their own in n_links. An empty table gives no rows.
     """
+    slack = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9 if slack is None else slack
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     good = clean(vectors, id_col, vector_col, label_col)
     reps = good.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
