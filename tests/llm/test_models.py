@@ -177,3 +177,17 @@ def test_sampling_is_the_same_for_repeated_ids(spark):
     scratch = Scratch(spark, "mix3")
     described = scratch.table(mixing.describe(spark.createDataFrame(docs, DOCS)), "described")
     assert len({r["sampled"] for r in mixing.sample(described, mixing.mix(scratch, described)).collect()}) == 1
+
+
+def test_values_without_a_target_keep_their_share(spark):
+    """Null and unlisted languages keep their share of the tokens; the stated ones share the rest."""
+    text = "one two three four five six seven eight nine ten"
+    langs = ["en"] * 30 + ["de"] * 20 + ["fr"] * 10 + ["es"] * 10 + ["it"] * 20 + [None] * 10
+    docs = [(i, text, lang, "only" if lang is None else "a", 1) for i, lang in enumerate(langs)]
+    scratch = Scratch(spark, "mix4")
+    described = scratch.table(mixing.describe(spark.createDataFrame(docs, DOCS)), "described")
+    mixed = mixing.mix(scratch, described, language_targets(spark), 0.5, {"source": 1.0})
+    weight = {r["lang"]: r["weight"] for r in mixed.collect()}
+    assert weight["unknown"] == pytest.approx(100, rel=1e-3) and weight["it"] == pytest.approx(200, rel=0.05)
+    assert weight["en"] / weight["de"] == pytest.approx(LANGUAGES["en"] / LANGUAGES["de"], rel=1e-6)
+    assert {r["lang"] for r in mixing.sample(described, mixed).where("sampled").collect()} >= {"unknown", "it"}

@@ -52,6 +52,15 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return seen.select("value", (F.col("raised") / F.lit(total)).alias("share"))
 
 
+def completed(cells: DataFrame, dimension: str, target: DataFrame) -> DataFrame:
+    """A target with every value that occurs: those it doesn't state keep their observed share, the stated ones take the rest."""
+    seen = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("t")).where("t > 0")
+    total = seen.agg(F.sum("t")).first()[0] or 1
+    own = seen.join(target.select("value"), "value", "left_anti").select("value", (F.col("t") / F.lit(float(total))).alias("share"))
+    rest = 1.0 - (own.agg(F.sum("share")).first()[0] or 0.0)
+    return target.select("value", (F.col("share") * F.lit(rest)).alias("share")).union(own)
+
+
 def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, name: str = "rake") -> DataFrame:
     """Iterative proportional fitting of the cells' tokens to the targets of each dimension.
 
@@ -111,13 +120,14 @@ def mix(
     """Cells with the probability at which their documents are sampled: ``source, lang, topic, tokens, weight, probability``.
 
     Targets come as tables ``value, share`` per dimension; a dimension without one is tempered by its
-    power (1 keeps the observed shares).
+    power (1 keeps the observed shares). Values that a given target doesn't state, 'unknown' included,
+    keep their observed share of all tokens; the stated shares are scaled to the rest.
     """
     cells = described.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     cells = scratch.table(cells, "cells")
     powers = {"source": 0.5, "lang": 0.7, "topic": 1.0} | (powers or {})
     given = targets or {}
-    goals = {dim: given[dim] if dim in given else tempered(cells, dim, powers[dim]) for dim in DIMENSIONS}
+    goals = {dim: completed(cells, dim, given[dim]) if dim in given else tempered(cells, dim, powers[dim]) for dim in DIMENSIONS}
     raked = rake(scratch, cells, goals, rounds)
     return scratch.table(calibrate(raked, budget), "mixed")
 
