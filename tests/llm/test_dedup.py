@@ -193,6 +193,33 @@ def test_lines_odd_cases(spark):
     assert lines.dedup_lines(Scratch(spark, "l3"), spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_edits_and_profiles():
+    rng = random.Random(10)
+    pairs = [["".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in "ab"] for _ in range(200)]
+    for a, b in pairs:
+        assert lines.edits(a, b) == edit_distance(a, b)
+        x, y = lines.profiles([a + "ab", b + "ab"])
+        assert abs(x - y).sum() <= 4 * edit_distance(a, b)
+
+
+def test_changed_lines_are_found_by_edit_similarity_alone(spark):
+    """Lines of 5 to 30 words with one changed letter, and of ten and more with one other word."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8)))
+    docs, want = [], 0
+    for i in range(120):
+        own = [word() for _ in range(rng.randint(5, 30))]
+        new = list(own)
+        at = rng.randrange(len(own))
+        new[at] = word() if i % 2 and len(own) >= 10 else "z" + own[at][1:]
+        docs += [(2 * i, " ".join(own), "en", "a", 1), (2 * i + 1, " ".join(new), "en", "a", 1)]
+        a, b = docs[-2][1], docs[-1][1]
+        want += edit_distance(a, b) <= 0.2 * max(len(a), len(b))
+    found = lines.dedup_lines(Scratch(spark, "l4"), spark.createDataFrame(docs, DOCS)).collect()
+    assert want > 110 and sum(r["n_removed"] for r in found) >= 0.97 * want
+    assert not any(r["n_removed"] for r in found if r["doc_id"] % 2 == 0)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 400).selectExpr("id AS a", "id + 1 AS b").union(spark.sql("SELECT 1000L AS a, 900L AS b"))
     found = {r["node"]: r["component"] for r in spark_components(Scratch(spark, "c1"), edges, "chain").collect()}
