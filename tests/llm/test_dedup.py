@@ -220,6 +220,21 @@ def test_changed_lines_are_found_by_edit_similarity_alone(spark):
     assert not any(r["n_removed"] for r in found if r["doc_id"] % 2 == 0)
 
 
+def test_short_lines_and_rows_of_one_id(spark):
+    """Equal lines of any length and script go once; rows with a null or repeated id lose lines of their own only."""
+    docs = [
+        (1, "Home\nown one\n\n--", "en", "a", 1), (2, "home!\n\n--\n版权所有不得转载本站内容", "ja", "a", 1), (3, "版权所有不得转载本站内容。\nHome", "ja", "a", 1),
+        (4, "zero here\nHome", "en", "a", 1), (4, "kept\nunique text", "en", "a", 1),
+        (None, "Home\nfirst null", "en", "a", 1), (None, "second null\nfirst null", "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(docs, DOCS).coalesce(1)
+    found = sorted((r["doc_id"] or 9, r["text"]) for r in lines.dedup_lines(Scratch(spark, "l5"), docs).collect())
+    assert found == [
+        (1, "Home\nown one\n\n--"), (2, "\n--\n版权所有不得转载本站内容"), (3, ""), (4, "kept\nunique text"), (4, "zero here"),
+        (9, "first null"), (9, "second null"),
+    ]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 400).selectExpr("id AS a", "id + 1 AS b").union(spark.sql("SELECT 1000L AS a, 900L AS b"))
     found = {r["node"]: r["component"] for r in spark_components(Scratch(spark, "c1"), edges, "chain").collect()}
