@@ -154,11 +154,9 @@ def brute_lines(docs, similarity=0.8):
     """{(doc_id, line)} that go."""
     seen = [(i, n, normal) for i, t, *_ in docs for n, normal in enumerate(map(lines.normalise, (t or "").split("\n"))) if normal.count(" ") >= 4]
     normals = sorted({x for *_, x in seen})
-    sims = dict(zip(normals, np.array(lines.simhashes(normals)).view(np.uint64).tolist(), strict=True))
     links = [
         (a, b) for k, a in enumerate(normals) for b in normals[k + 1 :]
-        if (sims[a] ^ sims[b]).bit_count() <= lines.DISTANCE
-        and edit_distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+        if edit_distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
     ]
     group = components(normals, links)
     first = {}
@@ -197,11 +195,63 @@ def test_edits_and_profiles():
     rng = random.Random(10)
     pairs = [["".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in "ab"] for _ in range(200)]
     for a, b in pairs:
-        assert lines.edits(a, b) == edit_distance(a, b)
+        want = edit_distance(a, b)
+        assert lines.edits(a, b, 30) == want
+        assert lines.edits("same " + a + " end", "same " + b + " end", 30) <= want
+        assert (lines.edits(a, b, 9) == want) if want <= 9 else (lines.edits(a, b, 9) > 9)
         x, y = lines.profiles([a + "ab", b + "ab"])
         assert abs(x - y).sum() <= 4 * edit_distance(a, b)
 
 
+def share_found(pairs):
+    """Share of the pairs of lines that have a band in common and pass the SimHash screen."""
+    keys, marks = lines.signatures([x for p in pairs for x in p], 0.8)
+    close = [bin((int(marks[k]) ^ int(marks[k + 1])) & (1 << 64) - 1).count("1") <= lines.DISTANCE for k in range(0, len(keys), 2)]
+    return sum(c and bool(set(keys[2 * k]) & set(keys[2 * k + 1])) for k, c in enumerate(close)) / len(pairs)
+
+
+def test_recall_of_candidates():
+    """README states these shares; the pairs have an edit similarity of 0.8 or more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+
+    def pairs(low, high, change):
+        out = []
+        while len(out) < 400:
+            own = [word() for _ in range(rng.randint(low, high))]
+            a, b = " ".join(own), change(own)
+            if edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
+                out.append((a, b))
+        return out
+
+    def letters(share):
+        def change(own):
+            text = list(" ".join(own))
+            for at in rng.sample(range(len(text)), max(1, int(share * len(text)))):
+                text[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            return "".join(text)
+
+        return change
+
+    def other_words(n):
+        def change(own):
+            new = list(own)
+            at = rng.randrange(len(own) - n + 1)
+            new[at : at + n] = [word() for _ in range(n)]
+            return " ".join(new)
+
+        return change
+
+    found = {
+        "one letter": share_found(pairs(2, 30, letters(0))), "one word": share_found(pairs(6, 30, other_words(1))),
+        "three words together": share_found(pairs(15, 30, other_words(3))), "letters, 4 %": share_found(pairs(5, 30, letters(0.04))),
+        "letters, 8 %": share_found(pairs(5, 30, letters(0.08))),
+    }
+    print(found)
+    assert found["one letter"] >= 0.98 and found["one word"] >= 0.95 and found["three words together"] >= 0.9
+    assert found["letters, 4 %"] >= 0.85
+
+
 def test_changed_lines_are_found_by_edit_similarity_alone(spark):
     """Lines of 5 to 30 words with one changed letter, and of ten and more with one other word."""
     rng = random.Random(11)

@@ -94,16 +94,19 @@ def pivot_links(scratch: Scratch, members: DataFrame, confirm, name: str) -> tup
     """Links of bucket members with one pivot each, and the members of buckets that these leave open.
 
     ``members`` has ``key, node`` (long), each combination once. ``confirm`` takes distinct pairs
-    ``a, b`` with a < b and returns those that are links. Each bucket's pivot is picked by a hash, so a
-    node of several buckets meets several pivots; this is linear in the buckets' sizes. A bucket whose
-    members now lie in one component is done. Returns the links and ``key, node, root`` of the members
-    of all other buckets, root being the component so far.
+    ``a, b`` with a < b and returns those that are links. Each bucket's pivot is picked by an order of its
+    own, so a node of several buckets meets several pivots; this is linear in the buckets' sizes. A bucket
+    of two is done with that pair, a larger one when its members lie in one component. Returns the links and
+    ``key, node, root`` of the members of all other buckets, root being the component so far.
     """
-    pick = F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("id")))
-    sizes = members.groupBy("key").agg(pick.alias("p"), F.count(F.lit(1)).alias("n"))
-    pivots = scratch.table(sizes.where("n > 1").select("key", F.col("p.id").alias("pivot")), f"{name}-pivots")
-    live = scratch.table(members.join(pivots, "key").select("key", "node", "pivot"), f"{name}-live")
-    pairs = live.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    turned = F.col("node").bitwiseXOR(F.col("key"))
+    sizes = members.groupBy("key").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    back = lambda c: F.col(c).bitwiseXOR(F.col("key"))
+    sizes = scratch.table(sizes.select("key", back("lo").alias("pivot"), back("hi").alias("other"), "n"), f"{name}-sizes")
+    live = members.join(sizes.where("n > 2").select("key", "pivot"), "key").select("key", "node", "pivot")
+    live = scratch.table(live, f"{name}-live")
+    pairs = live.select("pivot", "node").where("node <> pivot").union(sizes.where("n = 2").select("pivot", "other"))
+    pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
     found = scratch.table(confirm(scratch.table(pairs.distinct(), f"{name}-pairs")), f"{name}-found")
     groups = scratch.table(components(scratch, found, f"{name}-c1"), f"{name}-groups")
     tagged = live.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
@@ -111,7 +114,7 @@ def pivot_links(scratch: Scratch, members: DataFrame, confirm, name: str) -> tup
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     mixed = scratch.table(mixed, f"{name}-mixed")
     rest = scratch.table(tagged.join(mixed, "key"), f"{name}-rest")
-    scratch.drop(*(f"{name}-{x}" for x in ("pivots", "live", "pairs", "groups", "tagged", "mixed")))
+    scratch.drop(*(f"{name}-{x}" for x in ("sizes", "live", "pairs", "groups", "tagged", "mixed")))
     return found, rest
 
 
