@@ -5,6 +5,7 @@ import pytest
 from brute import DOCS, odd_docs, some_docs, with_clashes
 
 from veilframe.llm import bpe, chat, counts
+from veilframe.llm._shared import Scratch
 from veilframe.llm.queries import BYTE_RANKS, FIRST_CONVERSATION, PIECES
 
 RANKS, PATTERN, MODEL = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, public_tokenizers.path(PIECES)
@@ -102,22 +103,52 @@ ODD_TURNS = [
 
 
 def test_chat_reads_back_what_went_in(spark):
-    formatted = chat.format_chats(with_clashes(spark.createDataFrame(ODD_TURNS, TURNS)), MODEL, budget=512, history=150)
+    formatted = chat.format_chats(Scratch(spark, "chat"), with_clashes(spark.createDataFrame(ODD_TURNS, TURNS)), MODEL, budget=512, history=150)
     for in_order in (True, False):
         rows = chat.read_back(formatted, in_order).collect()
         assert {r["conv_id"]: tuple(r)[1:5] for r in rows} == summary(ODD_TURNS)
-    assert chat.read_back(chat.format_chats(spark.createDataFrame([], TURNS), MODEL)).count() == 0
+    assert chat.read_back(chat.format_chats(Scratch(spark, "chat"), spark.createDataFrame([], TURNS), MODEL)).count() == 0
 
 
 def test_chat_windows_keep_the_budget(spark):
-    windows = chat.format_chats(spark.createDataFrame(ODD_TURNS, TURNS), MODEL, budget=512, history=150).where("conv_id = 1").orderBy("window").collect()
+    windows = chat.format_chats(Scratch(spark, "chat"), spark.createDataFrame(ODD_TURNS, TURNS), MODEL, budget=512, history=150).where("conv_id = 1").orderBy("window").collect()
     assert len(windows) > 3
     assert all(w["n_tokens"] <= 512 and w["formatted"].startswith("<<SYS>>\n") for w in windows)
     assert [p for w in windows for p in w["new_turns"]] == list(range(40))
     assert all(len(w["turn_starts"]) > len(w["new_turns"]) for w in windows[1:])
 
 
+def test_chat_counts_what_is_formatted(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    turns = [(1, k, ("user", "assistant")[k % 2], "[a]") for k in range(400)]
+    found = chat.format_chats(Scratch(spark, "chat"), spark.createDataFrame(turns, TURNS), MODEL).collect()
+    assert all(len(model.encode(w["formatted"])) <= 1024 for w in found)
+
+
+def test_chat_bears_many_empty_turns_and_a_long_system_turn(spark):
+    empty = spark.range(100_000).selectExpr("7L AS conv_id", "cast(id AS int) AS turn", "'user' AS role", "'' AS text")
+    found = chat.format_chats(Scratch(spark, "chat"), empty, MODEL).selectExpr("count(*)", "sum(size(new_turns))", "max(n_tokens)").first()
+    assert found[0] > 50 and found[1] == 100_000 and found[2] <= 1024
+    turns = [(1, 0, "system", "rule " * 2000), *((1, k, ("user", "assistant")[k % 2], "word " * 60) for k in range(1, 21))]
+    found = sorted(chat.format_chats(Scratch(spark, "chat"), spark.createDataFrame(turns, TURNS), MODEL, budget=300).collect(), key=lambda w: w["window"])
+    assert found[0]["new_turns"] == [0] and all(w["n_tokens"] <= 300 for w in found[1:])
+
+
+def test_chat_cuts_long_conversations_into_segments(spark):
+    rows = spark.createDataFrame(ODD_TURNS + [(None, k, "assistant", f"more {k}") for k in range(2, 60)], TURNS).repartition(5)
+    formatted = chat.format_chats(Scratch(spark, "chat"), rows, MODEL, budget=512, history=150, segment_tokens=1500)
+    windows = sorted(formatted.where("conv_id = 1").collect(), key=lambda w: (w["segment"], w["window"]))
+    assert len({w["segment"] for w in windows}) > 2 and not any(w["whole"] for w in windows)
+    assert [p for w in windows for p in w["new_turns"]] == list(range(40))
+    assert all(w["n_tokens"] <= 512 and w["formatted"].startswith("<<SYS>>\n") and len(w["turn_starts"]) > len(w["new_turns"]) for w in windows[1:])
+    for in_order in (True, False):
+        found = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(formatted, in_order).collect()}
+        assert found == summary([tuple(r) for r in rows.collect()])
+
+
 def test_chat_over_the_whole_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    rows = chat.read_back(chat.format_chats(df, MODEL), in_order=True).collect()
+    rows = chat.read_back(chat.format_chats(Scratch(spark, "chat"), df, MODEL), in_order=True).collect()
     assert {r["conv_id"]: tuple(r)[1:5] for r in rows} == summary([tuple(r) for r in df.collect()])

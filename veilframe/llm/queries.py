@@ -68,7 +68,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     first = f"SELECT stack(2, -1L, 0L, 'user', '{FIRST_CONVERSATION}', -1L, 1L, 'assistant', '{FIRST_CONVERSATION}') AS (conv_id, turn, role, text)"
-    formatted = chat.format_chats(turns.union(spark.sql(first)), public_tokenizers.path(PIECES))
+    formatted = chat.format_chats(Scratch(spark, "op9"), turns.union(spark.sql(first)), public_tokenizers.path(PIECES))
     return chat.read_back(formatted, in_order=True)
 
 
