@@ -205,8 +205,10 @@ def test_edits_and_profiles():
 
 def share_found(pairs):
     """Share of the pairs of lines that have a band in common and pass the SimHash screen."""
-    keys, marks = lines.signatures([x for p in pairs for x in p], 0.8)
-    close = [bin((int(marks[k]) ^ int(marks[k + 1])) & (1 << 64) - 1).count("1") <= lines.DISTANCE for k in range(0, len(keys), 2)]
+    flat = [x for p in pairs for x in p]
+    keys, marks = lines.signatures(flat, 0.8)
+    close = [bin((int(marks[k]) ^ int(marks[k + 1])) & (1 << 64) - 1).count("1") <= lines.DISTANCE
+             or (len(flat[k]) >= lines.LONG_LINE) != (len(flat[k + 1]) >= lines.LONG_LINE) for k in range(0, len(keys), 2)]
     return sum(c and bool(set(keys[2 * k]) & set(keys[2 * k + 1])) for k, c in enumerate(close)) / len(pairs)
 
 
