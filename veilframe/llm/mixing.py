@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ TOPICS = (
 )
 DEFAULT_TOPIC = "prose"
 UNKNOWN = "unknown"
+#: How far from its target, in shares of it, a marginal may stay without a warning.
+TOLERANCE = 0.01
 
 
 def topic_of(text: Column) -> Column:
@@ -66,7 +70,7 @@ def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], roun
 
     ``cells`` has one row per combination with ``tokens``; each target has ``value, share``. A round
     scales the weights of each dimension in turn to its shares of all tokens. A value without a target
-    weighs nothing. Returns the cells with ``weight``, in tokens. There are as many cells as
+    weighs nothing. Warns if some marginal is still further than TOLERANCE of it from its target. Returns the cells with ``weight``, in tokens. There are as many cells as
     combinations that occur, however many documents; a round's sums are aggregates over them, only the
     grand total reaches the driver, and lineage is cut after each round.
     """
@@ -75,16 +79,25 @@ def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], roun
         dim: scratch.table(target.select(F.col("value").alias(dim), (F.col("share") * F.lit(float(total))).alias("goal")), f"{name}-goal-{dim}")
         for dim, target in targets.items()
     }
-    now = scratch.table(cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), f"{name}-0")
+    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+    for dim, goal in goals.items():
+        now = now.join(goal.withColumnRenamed("goal", f"goal_{dim}"), dim, "left")
+    now = scratch.table(now, f"{name}-0")
     for k in range(1, rounds + 1):
         step = now
-        for dim, goal in goals.items():
-            sums = step.groupBy(dim).agg(F.sum("weight").alias("own"))
-            factor = sums.join(goal, dim, "left").select(dim, F.coalesce(F.col("goal") / F.nullif("own", F.lit(0.0)), F.lit(0.0)).alias("factor"))
+        for dim in goals:
+            sums = step.groupBy(dim).agg(F.sum("weight").alias("own"), F.first(f"goal_{dim}").alias("goal"))
+            factor = sums.select(dim, F.coalesce(F.col("goal") / F.nullif("own", F.lit(0.0)), F.lit(0.0)).alias("factor"))
             step = step.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         now = scratch.table(step, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
-    return now
+    far = 0.0
+    for dim in goals:
+        sums = now.groupBy(dim).agg(F.sum("weight").alias("own"), F.first(f"goal_{dim}").alias("goal"))
+        far = max(far, sums.agg(F.max(F.abs(F.col("own") / F.col("goal") - 1))).first()[0] or 0.0)
+    if far > TOLERANCE:
+        warnings.warn(f"after {rounds} rounds a marginal is {far:.1%} away from its target", stacklevel=2)
+    return now.drop(*(f"goal_{dim}" for dim in goals))
 
 
 def calibrate(raked: DataFrame, budget: float, rounds: int = 12) -> DataFrame:
