@@ -32,9 +32,10 @@ def merge_runs(rows: DataFrame, radix: int = 8, rounds: int = 3) -> DataFrame:
 
     Every input partition is a run, numbered in base ``radix``. In round r a run hands each entry to
     the run whose r-th digit is that of the entry's digest, so after all rounds a digest lives in one
-    run. Each round sorts the runs by digest, keeps the best identifier of each digest before the
-    exchange, and merges the sorted pieces after it: a digest that fills a third of the table is one
-    row per run from the first round on. Entries merge only if length and second hash agree as well.
+    run. The runs are what is exchanged: a run's pieces meet in one partition, are sorted by digest there
+    and merged into the best identifier of each. A digest that fills a third of the table comes from all
+    runs and is spread over ``radix ** (rounds - 1)`` of them by the first round, after which it is one row in
+    each. Entries merge only if length and second hash agree as well.
     """
     slots = radix**rounds
     best = F.struct((-F.col("points")).alias("neg_points"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
@@ -47,6 +48,7 @@ def merge_runs(rows: DataFrame, radix: int = 8, rounds: int = 3) -> DataFrame:
         unit = radix**r
         digit = lambda c: F.floor(F.col(c) / unit) % radix  # noqa: B023, E731
         runs = runs.withColumn("slot", (F.col("slot") + (digit("home") - digit("slot")) * unit).cast("long"))
+        runs = runs.repartition("slot").sortWithinPartitions("slot", "digest")
         runs = runs.groupBy("slot", "digest", "check", "home").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
     return runs.select("digest", "check", "best", "n")
 
