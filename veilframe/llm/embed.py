@@ -13,6 +13,8 @@ from veilframe.llm._shared import Scratch, block_pairs, components, forest, map_
 
 #: Rows that the cells are fitted to at most, rows of a cell at which more cells are made, and most cells.
 FIT_ROWS, CELL_ROWS, MAX_CELLS = 20_000, 1000, 512
+#: Numbers of a table of vectors by cells that is held at once.
+CELL_NUMBERS = 1 << 21
 #: Rows of a block; two blocks are all that a task holds of a cell.
 BLOCK_ROWS = 1024
 
@@ -64,18 +66,24 @@ def assign(reps: DataFrame, centres: dict[int, np.ndarray], slack: float) -> Dat
     with it only if their distance reaches that far.
     """
 
-    def run(batches):
+    apart = {d: np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) for d, c in centres.items()}
+
+    def pieces(batches):
+        most = max((len(c) for c in centres.values()), default=1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            for k in range(0, batch.num_rows, step := max(1, CELL_NUMBERS // most)):
+                yield batch[k : k + step]
+
+    def run(batches):
+        for batch in pieces(batches):
             dims = np.array([len(x) for x in batch.column(3)])
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 rows, own = unit(_matrix(part.column(3))), centres[int(dim)]
                 dots = rows @ own.T
                 home = dots.argmax(1)
-                apart = np.linalg.norm(own[home][:, None] - own[None], axis=2)
-                away = (dots[np.arange(len(rows)), home][:, None] - dots) / np.where(apart > 0, apart, 1)
+                between = apart[int(dim)][home]
+                away = (dots[np.arange(len(rows)), home][:, None] - dots) / np.where(between > 1e-7, between, 1)
                 visits = (away <= slack) & (np.arange(len(own))[None] < home[:, None])
                 visits[np.arange(len(rows)), home] = True
                 who, cell = np.nonzero(visits)
