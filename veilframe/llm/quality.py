@@ -46,7 +46,7 @@ def shape(word: str) -> str:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 class Reader:
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
     rate = int(min(1.0, fit_rows / max(1, total)) * 2**31)
     picked = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(2**31)) < rate)
     rows = votes_and_features(picked, id_col, text_col, True).select("votes", "at", "weight").collect()
-    return QualityModel(share, given, posterior, fit_scorer([(r["at"], r["weight"], posterior.get(tuple(r["votes"]), share)) for r in rows]))
+    return QualityModel(share, given, posterior, fit_scorer(sorted((r["at"], r["weight"], posterior.get(tuple(r["votes"]), share)) for r in rows)))  # sums in one order
 
 
 def classify(
