@@ -70,6 +70,13 @@ def test_minhash_odd_cases(spark):
     assert minhash_rows(spark, spark.createDataFrame([], DOCS), "m4")[1] == []
 
 
+def test_minhash_of_one_id_with_different_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey")
+    docs = [(5, a, "en", "a", 1), (5, b, "en", "a", 1), (7, a, "en", "a", 1), (8, b, "en", "a", 1), (3, c, "en", "a", 1), (9, c + ".", "en", "a", 1)]
+    found = minhash.dedup_minhash(Scratch(spark, "m5"), spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(3, 3), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 4000, dtype=np.uint64)

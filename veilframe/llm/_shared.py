@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (tests on one machine) a folder of our own is used.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} names no folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="veilframe-")
         spark.conf.set(CHECKPOINT_DIR, found)

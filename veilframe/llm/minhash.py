@@ -67,39 +67,51 @@ def estimate(a: list[Column], b: list[Column]) -> Column:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands, s0..s7`` of whole texts; the digest names the whole set of shingles."""
+    """``doc_id, n_shingles, digest, node, bands, s0..s7`` of whole texts; the digest names the whole set of shingles."""
     names = [f"s{i}" for i in range(LONGS)]
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            size, digest, keys, signs = [], [], [], []
+            size, digest, node, keys, signs = [], [], [], [], []
             for words in hashed_words(texts):
                 found = shingles(words, WIDTH)
                 size.append(len(found))
-                digest.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                digest.append(set_digest(found) if len(found) else None)
+                node.append(node_of(digest[-1]) if len(found) else None)
                 least = minima(found)
                 keys.append(bands(least).view(np.int64) if len(found) else [])
                 signs.append(packed(least).view(np.int64))
             signs = np.array(signs, np.int64).reshape(-1, LONGS)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, signs.T.copy())],
-                names=["doc_id", "n_shingles", "digest", "bands", *names],
+                [ids, pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, signs.T.copy())],
+                names=["doc_id", "n_shingles", "digest", "node", "bands", *names],
             )
 
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{x} long" for x in names)
+    schema = "doc_id long, n_shingles long, digest binary, node long, bands array<long>, " + ", ".join(f"{x} long" for x in names)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, shingles``: the distinct shingles of whole texts as 64-bit hashes."""
+def set_digest(found: np.ndarray) -> bytes:
+    """The name of a set of shingles."""
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def node_of(digest: bytes) -> int:
+    """The node that stands for a set in the graph of links."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles``: the distinct shingles of whole ``text`` as 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
-            found = [shingles(w, WIDTH).view(np.int64) for w in hashed_words(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            found = [s for w in hashed_words(batch.column(0).to_pylist()) if len(s := shingles(w, WIDTH))]
+            nodes = pa.array([node_of(set_digest(s)) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def nibbles(batch: pa.RecordBatch) -> np.ndarray:
@@ -175,32 +187,35 @@ def dedup_minhash(
     sets decide. Returns one row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Null text counts as empty; a text without words has an empty set and links with nothing. A null id
-    is never linked and is its own component (null). Rows that repeat an id count as one document if
-    their sets are equal; with different sets, a set's smallest id is still what stands for it. Other columns are
-    ignored; an empty table gives no rows.
+    is never linked and is its own component (null). Rows that repeat an id are linked by what each of
+    them says; two of them may lie in different components. Sets are told apart by a 128-bit digest, half
+    of which names them among the links. Other columns are ignored; an empty table gives no rows.
     """
     signs = [f"s{i}" for i in range(LONGS)]
     sketch = scratch.table(sketches(docs, id_col, text_col), "sketches")
     # One representative for each set; the group of a set may be any share of all rows.
-    sets = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
+    sets = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "node")
     firsts = scratch.table(sets.agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    reps = sketch.join(firsts, "digest").where("doc_id = first")
-    reps = scratch.table(reps.dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "bands", *signs), "reps")
-    members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
-    facts = reps.select("doc_id", "n_shingles", *signs)
-    side = lambda n: facts.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n{n}"), *(F.col(x).alias(f"{n}{x}") for x in signs))
-
-    def chosen(ids: DataFrame) -> DataFrame:
-        return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    reps = sketch.join(firsts.select("digest", "first"), "digest").where("doc_id = first")
+    reps = scratch.table(reps.dropDuplicates(["digest"]).select("doc_id", "node", "n_shingles", "bands", *signs), "reps")
+    members = reps.select(F.explode("bands").alias("key"), "node")
+    facts = reps.select("node", "n_shingles", *signs)
+    side = lambda n: facts.select(F.col("node").alias(n), F.col("n_shingles").alias(f"n{n}"), *(F.col(x).alias(f"{n}{x}") for x in signs))
+
+    def chosen(nodes: DataFrame, name: str) -> DataFrame:
+        """The sets of these nodes, each read from the documents of its smallest id."""
+        ids = reps.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("id")).distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+        return scratch.table(full_sets(texts).join(nodes, "node", "left_semi").dropDuplicates(["node"]), name)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         near = pairs.join(side("a"), "a").join(side("b"), "b")
         near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         guess = estimate([F.col(f"a{x}") for x in signs], [F.col(f"b{x}") for x in signs])
         near = scratch.table(near.where(guess >= percent / 100 - MARGIN).select("a", "b", "na", "nb"), "near")
-        wanted = scratch.table(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "wanted")
-        full = scratch.table(full_sets(chosen(wanted), "id", "text").dropDuplicates(["doc_id"]), "full")
-        left, right = (full.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
+        wanted = scratch.table(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(), "wanted")
+        full = chosen(wanted, "full")
+        left, right = (full.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
         common = F.size(F.array_intersect("set_a", "set_b"))
         both = near.join(left, "a").join(right, "b").withColumn("common", common)
         return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -209,19 +224,21 @@ def dedup_minhash(
     # Buckets that hold several components still: what estimates can't tell apart there forms clusters,
     # and each cluster's members are compared by their full sets in blocks. No pairs leave a task.
     roots = scratch.table(rest.select("node", "root").distinct(), "roots")
-    rest = scratch.table(rest.join(facts, rest["node"] == facts["doc_id"]).drop("doc_id"), "open")
+    rest = scratch.table(rest.join(facts, "node"), "open")
     maybe = map_groups(block_pairs(scratch, rest, ["key"], "node", BLOCK_ROWS, "open"), ["key", "i", "j"], lambda x: screen(x, percent), "a long, b long")
     close = components(scratch, scratch.table(maybe, "maybe"), "maybe").withColumnRenamed("component", "cluster").join(roots, "node")
     close = block_pairs(scratch, scratch.table(close, "close"), ["cluster"], "node", BLOCK_ROWS, "close")
-    sets = full_sets(chosen(scratch.table(close.select(F.col("node").alias("id")).distinct(), "close-ids")), "id", "text").dropDuplicates(["doc_id"])
-    sets = scratch.table(sets, "close-sets")
-    close = close.select("cluster", "i", "j", "node", "root").join(sets, close["node"] == sets["doc_id"]).drop("doc_id")
+    sets = chosen(scratch.table(close.select("node").distinct(), "close-ids"), "close-sets")
+    close = close.select("cluster", "i", "j", "node", "root").join(sets, "node").select("node", "cluster", "i", "j", "root", "shingles")
     more = map_groups(close, ["cluster", "i", "j"], lambda x: join_components(x, percent), "a long, b long")
     more = scratch.table(more, "more")
     scratch.drop("open", "maybe", "close", "close-ids", "close-sets", "near", "wanted", "full")
     groups = scratch.table(components(scratch, found.union(more), "all"), "components")
     # Sets first, then documents: a hot set is one row on one side and only its documents on the other.
-    by_set = firsts.join(groups, firsts["first"] == groups["node"], "left")
+    linked = firsts.join(groups.withColumnRenamed("component", "group"), "node")
+    least = scratch.table(linked.groupBy("group").agg(F.min("first").alias("component")), "least")
+    linked = groups.withColumnRenamed("component", "group").join(least, "group").select("node", "component")
+    by_set = firsts.join(linked, "node", "left")
     by_set = scratch.table(by_set.select("digest", F.coalesce("component", "first").alias("component")), "by-set")
     out = sketch.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
