@@ -27,7 +27,7 @@ ROW = "__row"
 
 def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """The stage's input with ROW, written once so that all who read it see the same numbers."""
-    return scratch.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return scratch.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered", "zstd")
 
 
 def without(scratch: Scratch, rows: DataFrame, gone: DataFrame) -> DataFrame:

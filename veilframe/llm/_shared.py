@@ -51,6 +51,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches, rows: int = 500):
+    """Record batches cut into few rows, so that a worker holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch[k : k + rows]
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected graph with the smallest node of its component.
 

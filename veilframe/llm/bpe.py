@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm._shared import slices
+
 #: Bytes of text that one call of the library gets; bounds the memory of its results.
 CALL_BYTES = 1 << 21
 #: Words that a worker remembers between batches; beyond that it starts anew.
@@ -167,7 +169,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         bpe = byte_bpe(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in runs_of(texts):
                 done = bpe.encode(texts[part])
@@ -191,7 +193,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         bpe = byte_bpe(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             whole = [bpe.decode_bytes(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(whole, pa.binary()), pa.array([b.decode("utf-8", "replace") for b in whole], pa.string())],
@@ -214,7 +216,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches):
         bpe = byte_bpe(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in runs_of(texts):
                 done = bpe.look_up(texts[part])

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Scratch, block_pairs, components, forest, map_groups, pivot_links
+from veilframe.llm._shared import Scratch, block_pairs, components, forest, map_groups, pivot_links, slices
 from veilframe.llm._words import hashed_words, mix, shingles
 
 WIDTH = 5
@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     names = [f"s{i}" for i in range(LONGS)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             size, digest, node, keys, signs = [], [], [], [], []
             for words in hashed_words(texts):
@@ -106,7 +106,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
     """``node, shingles``: the distinct shingles of whole ``text`` as 64-bit hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [s for w in hashed_words(batch.column(0).to_pylist()) if len(s := shingles(w, WIDTH))]
             nodes = pa.array([node_of(set_digest(s)) for s in found], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -204,7 +204,8 @@ def dedup_minhash(
 
     def chosen(nodes: DataFrame, name: str) -> DataFrame:
         """The sets of these nodes, each read from the documents of its smallest id."""
-        ids = reps.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("id")).distinct()
+        # Written, so that Spark knows its size before it decides how texts meet it.
+        ids = scratch.table(reps.select("node", F.col("doc_id").alias("id")).join(nodes, "node", "left_semi").select("id").distinct(), f"{name}-ids")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
         return scratch.table(full_sets(texts).join(nodes, "node", "left_semi").dropDuplicates(["node"]), name)
 

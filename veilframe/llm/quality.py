@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm._shared import slices
+
 GOOD, BAD, NONE = 1, -1, 0
 #: Buckets of the hashed features.
 BUCKETS = 1 << 16
 #: Texts of fewer words say too little for a vote against them.
 SHORT = 8
 #: Words that a worker remembers the shape of; beyond that it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 #: A labeller votes bad where its statistic is at least the second number, good where it is at most the
 #: first, and has no opinion otherwise. Most only know one kind of junk, so they never vote good; kinds overlap in
@@ -177,7 +179,7 @@ def votes_and_features(docs: DataFrame, id_col: str, text_col: str, features: bo
 
     def run(batches):
         reader = Reader()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             read = [reader.read(t) for t in texts]
             out = [batch.column(0), pa.array([v for v, _, _ in read], pa.list_(pa.int8()))]
@@ -230,7 +232,7 @@ def classify(
 
     def run(batches):
         reader = Reader()
-        for batch in batches:
+        for batch in slices(batches):
             read = [reader.read(t or "") for t in batch.column(1).to_pylist()]
             score = [scorer.score(a, w) for _, a, w in read]
             votes = [v for v, _, _ in read]
