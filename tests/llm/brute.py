@@ -1,8 +1,11 @@
 """Plain versions of the operators for small inputs, and inputs with every odd case."""
 
+import itertools
 import random
 import re
 
+from veilframe.llm import quality
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,3 +97,37 @@ def with_clashes(df):
     from pyspark.sql import functions as F
 
     return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def quality_votes(text: str) -> list[int]:
+    """The quality labellers' votes, word by word."""
+    words = text.split()
+    if not words:
+        return [quality.BAD] * len(quality.LABELLERS)
+
+    def shape(word: str) -> str:
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word]
+        return "".join(k for k, _ in itertools.groupby(kinds))
+
+    n, chars = len(words), sum(map(len, words))
+    shapes = [shape(w) for w in words]
+    loud = [len(w) > 2 and "a" not in s and "A" in s for w, s in zip(words, shapes, strict=True)]
+    odd = [s.strip(quality.PUNCTUATION) not in quality.PROSE for s in shapes]
+    stutter = sum(a == b for a, b in itertools.pairwise(words))
+    lines = [x for x in text.split("\n") if x]
+    stats = {
+        "symbols": sum(not (c.isalnum() or c in quality.PUNCTUATION) for w in words for c in w) / chars,
+        "odd": sum(odd) / n,
+        "shouting": sum(loud) / n,
+        "capitals": sum(c.isupper() for w in words for c in w) / chars,
+        "stutter": stutter / n,
+        "top_word": max(map(words.count, set(words))) / n if n >= 20 else 0.2,
+        "separators": sum(len(s) == 1 and not s.isalnum() for s in shapes) / n,
+        "same_lines": 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.1,
+        "unlike_prose": min(1.0, (sum(map(max, loud, odd)) + stutter) / n),
+    }
+    votes = []
+    for k, (low, high) in quality.LIMITS.items():
+        v = min(stats[k], (high + max(0, low)) / 2) if n < quality.SHORT else stats[k]
+        votes.append(quality.GOOD if v <= low else quality.BAD if v >= high else quality.NONE)
+    return votes

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import DOCS, odd_docs, some_docs, with_clashes, words
+from brute import DOCS, odd_docs, quality_votes, some_docs, with_clashes, words
 
 from veilframe.llm import lm, mixing, quality
 from veilframe.llm._shared import Scratch
@@ -102,6 +102,23 @@ def test_expectation_maximisation_finds_accuracies():
     assert quality.weak_labels({})[0] == 0.5
 
 
+def test_quality_votes_match_brute_force(monkeypatch):
+    draw = random.Random(5)
+    texts = ["", " \n", "x " * 30, "A\nA\nA\nA\nb", "\ud800x ² ½ Ǆ ǅ"]
+    texts += ["".join(draw.choice("aaabB9.|²ßÉ٣文 \n\x1c_-'") for _ in range(draw.randrange(120))) for _ in range(800)]
+    texts += [" ".join(draw.choice(["Some", "plain", "words", "OK", "|", "1999", "don't"]) for _ in range(draw.randrange(60))) for _ in range(200)]
+    monkeypatch.setattr(quality, "CACHED_WORDS", 500)
+    reader, scorer = quality.Reader(), quality.Scorer(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.1)
+    for k in range(0, len(texts), 150):
+        part = texts[k : k + 150]
+        read = reader.read(part)
+        assert read.votes.tolist() == [quality_votes(t) for t in part]
+        norms = np.bincount(read.text, read.weight**2, len(part))
+        assert np.allclose(norms, [1.0 if t.split() else 0.0 for t in part])
+        alone = np.concatenate([scorer.score(quality.Reader().read([t])) for t in part])
+        assert np.allclose(scorer.score(read), alone, rtol=0, atol=1e-12)
+
+
 def test_quality_odd_cases(spark):
     docs = odd_docs()
     rows = quality.classify(with_clashes(spark.createDataFrame(docs, DOCS))).collect()

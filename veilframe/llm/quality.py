@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ GOOD, BAD, NONE = 1, -1, 0
 BUCKETS = 1 << 16
 #: Texts of fewer words say too little for a vote against them.
 SHORT = 8
-#: Words that a worker remembers the shape of; beyond that it starts anew.
-CACHED_WORDS = 100_000
+#: Words, and characters of words, that a worker remembers the facts of; beyond either it starts anew with the next texts.
+CACHED_WORDS, CACHED_CHARS = 100_000, 4_000_000
 
 #: A labeller votes bad where its statistic is at least the second number, good where it is at most the
 #: first, and has no opinion otherwise. Most only know one kind of junk, so they never vote good; kinds overlap in
@@ -41,75 +42,139 @@ PUNCTUATION = ".,;:!?'\"()-"
 PROSE = {"a", "A", "Aa", "9", "a-a", "Aa-Aa", "Aa-a", "a'a", "A'Aa", "Aa'a"}
 
 
-def shape(word: str) -> str:
-    """Kinds of characters of a word with runs cut to one: A upper case, a lower case, 9 digit, others as they are."""
-    out = []
-    for c in word:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+#: The kind of each ASCII character.
+_KINDS = {c: "A" if chr(c).isupper() else "a" if chr(c).isalpha() else "9" if chr(c).isdigit() else chr(c) for c in range(128)}
+_AGAIN = re.compile(r"(.)\1+", re.DOTALL)
+#: Bucket of each labeller's statistic in tenths.
+_STAT_BUCKETS = np.array([[zlib.crc32(f"stat {k} {tenth}".encode()) % BUCKETS for tenth in range(11)] for k in LABELLERS])
 
 
-class Reader:
-    """Statistics and hashed features of texts; remembers word shapes between batches."""
+def kinds(word: str) -> str:
+    """A for an upper-case letter, a for any other, 9 for a digit, other characters as they are."""
+    if word.isascii():
+        return word.translate(_KINDS)
+    return "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+
+
+class Kinds(dict):
+    """Numbers of what ``kinds`` gives for words, and the facts of each by its number: a column of integers a fact."""
+
+    FACTS = ("bucket", "chars", "symbols", "capitals", "shouting", "odd", "unlike", "bars")
 
     def __init__(self) -> None:
-        self.shapes: dict[str, tuple[str, int, int, int, bool, bool]] = {}
-
-    def look(self, word: str) -> tuple[str, int, int, int, bool, bool]:
-        """Shape, its bucket, numbers of symbols and capitals, whether the word shouts, whether its shape is unusual for prose."""
-        if len(self.shapes) > CACHED_WORDS:
-            self.shapes.clear()
-        s = shape(word)
-        symbols = sum(not (c.isalnum() or c in PUNCTUATION) for c in word)
-        loud = len(word) > 2 and "a" not in s and "A" in s
+        self.columns = {k: array("q") for k in self.FACTS}
+        self.held = 0
+
+    def __missing__(self, k: str) -> int:
+        s = _AGAIN.sub(r"\1", k)
+        symbols = sum(not (c.isalnum() or c in PUNCTUATION) for c in k)
+        loud = len(k) > 2 and "a" not in s and "A" in s
         odd = s.strip(PUNCTUATION) not in PROSE
-        found = s, zlib.crc32(s.encode("utf-8", "surrogatepass")) % BUCKETS, symbols, sum(c.isupper() for c in word), loud, odd
-        self.shapes[word] = found
-        return found
-
-    def read(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Votes of the labellers, and the hashed features with their weights (unit length; none for an empty text)."""
-        words = text.split()
-        n = len(words)
-        if not n:
-            return [BAD] * len(LABELLERS), np.zeros(0, np.int32), np.zeros(0)
-        counts = Counter(words)
-        shapes, chars = self.shapes, 0
-        total: Counter[int] = Counter()
-        symbols = capitals = shouting = bars = odd = unlike = 0
-        for w, c in counts.items():
-            s, bucket, sym, caps, loud, strange = shapes.get(w) or self.look(w)
-            total[bucket] += c
-            chars += c * len(w)
-            symbols += c * sym
-            capitals += c * caps
-            shouting += c * loud
-            odd += c * strange
-            unlike += c * (loud or strange)
-            bars += c * (len(s) == 1 and not s.isalnum())
-        stutter = sum(map(str.__eq__, words, words[1:]))
-        lines = [x for x in text.split("\n") if x]
+        bucket = zlib.crc32(s.encode("utf-8", "surrogatepass")) % BUCKETS
+        facts = bucket, len(k), symbols, k.count("A"), loud, odd, loud or odd, len(s) == 1 and not s.isalnum()
+        for column, fact in zip(self.columns.values(), facts, strict=True):
+            column.append(fact)
+        self[k] = number = len(self)
+        self.held += len(k)
+        return number
+
+    def fact(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.columns[name], np.int64)[numbers]
+
+    @property
+    def full(self) -> bool:
+        return len(self) > CACHED_WORDS or self.held > CACHED_CHARS
+
+
+class Words(dict):
+    """Numbers of words; ``kind`` has the number of each one's kinds."""
+
+    def __init__(self, known: Kinds) -> None:
+        self.known, self.kind, self.held = known, array("q"), 0
+
+    def __missing__(self, word: str) -> int:
+        self.kind.append(self.known[kinds(word)])
+        self[word] = number = len(self)
+        self.held += len(word)
+        return number
+
+    @property
+    def full(self) -> bool:
+        return len(self) > CACHED_WORDS or self.held > CACHED_CHARS
+
+
+@dataclass
+class Read:
+    """What is read off some texts: ``votes`` has a row for each; features are ``weight`` at ``at`` of ``text``, in order of the texts."""
+
+    votes: np.ndarray
+    text: np.ndarray
+    at: np.ndarray
+    weight: np.ndarray
+
+
+class Reader:
+    """Votes and hashed features of texts; remembers words and the facts of their kinds between batches."""
+
+    def __init__(self) -> None:
+        self.words = Words(Kinds())
+
+    def read(self, texts: list[str], features: bool = True) -> Read:
+        """Votes of the labellers and, if asked for, the hashed features with weights of unit length; none for a text without words."""
+        if self.words.full or self.words.known.full:
+            self.words = Words(Kinds() if self.words.known.full else self.words.known)
+        votes = np.full((len(texts), len(LABELLERS)), BAD, np.int8)
+        coded = [np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)) for w in map(str.split, texts)]
+        has = np.flatnonzero([len(c) for c in coded])
+        none = Read(votes, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if not len(has):
+            return none
+        n = np.array([len(coded[i]) for i in has])
+        starts = np.r_[0, np.cumsum(n)[:-1]]
+        codes = np.concatenate([coded[i] for i in has])
+        del coded
+        same = np.r_[False, codes[1:] == codes[:-1]]
+        same[starts] = False
+        stutter = np.add.reduceat(same.astype(np.int64), starts)
+        keys, times = np.unique(np.repeat(np.arange(len(has)) * len(self.words), n) + codes, return_counts=True)
+        text, word = np.divmod(keys, len(self.words))
+        known, kind = self.words.known, np.frombuffer(self.words.kind, np.int64)[word]
+        most = np.maximum.reduceat(times, np.searchsorted(text, np.arange(len(has))))
+        chars, symbols, capitals, shouting, odd, unlike, bars = (
+            np.bincount(text, times * known.fact(k, kind), len(has)) for k in Kinds.FACTS[1:]
+        )
         stats = {
             "symbols": symbols / chars,
             "odd": odd / n,
             "shouting": shouting / n,
             "capitals": capitals / chars,
             "stutter": stutter / n,
-            "top_word": counts.most_common(1)[0][1] / n if n >= 20 else 0.2,
+            "top_word": np.where(n >= 20, most / n, 0.2),
             "separators": bars / n,
-            "same_lines": 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.1,
-            "unlike_prose": min(1.0, (unlike + stutter) / n),
+            "same_lines": np.array([repeated_share(texts[i]) for i in has]),
+            "unlike_prose": np.minimum(1.0, (unlike + stutter) / n),
         }
-        if n < SHORT:
-            stats = {k: min(v, (LIMITS[k][1] + max(0, LIMITS[k][0])) / 2) for k, v in stats.items()}
-        votes = [GOOD if stats[k] <= lo else BAD if stats[k] >= hi else NONE for k, (lo, hi) in LIMITS.items()]
-        for k, v in stats.items():
-            total[zlib.crc32(f"stat {k} {int(10 * v)}".encode()) % BUCKETS] += n
-        at = np.fromiter(total.keys(), np.int32, len(total))
-        weight = np.sqrt(np.fromiter(total.values(), np.float64, len(total)) / n)
-        return votes, at, weight / np.linalg.norm(weight)
+        for k, (name, (low, high)) in enumerate(LIMITS.items()):
+            v = stats[name]
+            stats[name] = v = np.where(n < SHORT, np.minimum(v, (high + max(0, low)) / 2), v)
+            votes[has, k] = np.where(v <= low, GOOD, np.where(v >= high, BAD, NONE))
+        if not features:
+            return none
+        tenths = (10 * np.array([stats[k] for k in LABELLERS])).astype(np.int64)
+        rows = np.r_[text, np.tile(np.arange(len(has)), len(LABELLERS))]
+        places = np.r_[known.fact("bucket", kind), np.take_along_axis(_STAT_BUCKETS, tenths, 1).ravel()]
+        keys, back = np.unique(rows * BUCKETS + places, return_inverse=True)
+        total = np.bincount(back, np.r_[times, np.tile(n, len(LABELLERS))])
+        text, at = np.divmod(keys, BUCKETS)
+        weight = np.sqrt(total / n[text])
+        weight /= np.sqrt(np.bincount(text, weight**2))[text]
+        return Read(votes, has[text], at, weight)
+
+
+def repeated_share(text: str) -> float:
+    """Share of a text's lines that repeat another; few lines say nothing."""
+    lines = [x for x in text.split("\n") if x]
+    return 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.1
 
 
 def weak_labels(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, np.ndarray, dict[tuple[int, ...], float]]:
@@ -148,8 +213,11 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, at: np.ndarray, weight: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-(self.weights[at] @ weight + self.bias)))) if len(at) else 0.0
+    def score(self, read: Read) -> np.ndarray:
+        """A number for each text; 0 for one without features."""
+        texts = len(read.votes)
+        sums = np.bincount(read.text, self.weights[read.at] * read.weight, texts)
+        return np.where(np.bincount(read.text, minlength=texts) > 0, 1 / (1 + np.exp(-(sums + self.bias))), 0.0)
 
 
 def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, ridge: float = 1e-4) -> Scorer:
@@ -180,11 +248,11 @@ def votes_and_features(docs: DataFrame, id_col: str, text_col: str, features: bo
     def run(batches):
         reader = Reader()
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            read = [reader.read(t) for t in texts]
-            out = [batch.column(0), pa.array([v for v, _, _ in read], pa.list_(pa.int8()))]
+            read = reader.read([t or "" for t in batch.column(1).to_pylist()], features)
+            out = [batch.column(0), pa.array(read.votes.tolist(), pa.list_(pa.int8()))]
             if features:
-                out += [pa.array([a for _, a, _ in read], pa.list_(pa.int32())), pa.array([w for *_, w in read], pa.list_(pa.float64()))]
+                ends = np.searchsorted(read.text, np.arange(batch.num_rows + 1)).astype(np.int32)
+                out += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (read.at.astype(np.int32), read.weight)]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "votes", "at", "weight"][: len(out)])
 
     schema = "doc_id long, votes array<tinyint>" + ", at array<int>, weight array<double>" * features
@@ -233,17 +301,16 @@ def classify(
     def run(batches):
         reader = Reader()
         for batch in slices(batches):
-            read = [reader.read(t or "") for t in batch.column(1).to_pylist()]
-            score = [scorer.score(a, w) for _, a, w in read]
-            votes = [v for v, _, _ in read]
+            read = reader.read([t or "" for t in batch.column(1).to_pylist()])
+            score, votes = scorer.score(read), read.votes
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(score, pa.float64()),
-                    pa.array([posterior.get(tuple(v), share) for v in votes], pa.float64()),
-                    pa.array([v.count(BAD) for v in votes], pa.int32()),
-                    pa.array([v.count(GOOD) for v in votes], pa.int32()),
-                    pa.array([s >= threshold for s in score], pa.bool_()),
+                    pa.array([posterior.get(tuple(v), share) for v in votes.tolist()], pa.float64()),
+                    pa.array((votes == BAD).sum(1).astype(np.int32)),
+                    pa.array((votes == GOOD).sum(1).astype(np.int32)),
+                    pa.array(score >= threshold),
                 ],
                 names=["doc_id", "score", "weak_posterior", "bad_votes", "good_votes", "kept"],
             )
